@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, secret_scan, url_filter, warc
+from tidemark.llm import embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, secret_scan, sql, url_filter, warc
 
 # The rules that op3 judges by, and op5's weights and largest number of epochs.
 URL_RULES = (
@@ -99,3 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     named = (op1_language_id, op2_best_fit_packing, op3_url_filter, op4_license_scan, op5_source_mix, op6_secret_scan, op7_quality_rules, op8_ngram_join, op9_embedding_dedup, op10_warc_round_trip, pipeline)
     return {f.__name__: f for f in named}
+
+
+def oracle_sql() -> dict[str, str]:
+    import corpus_pipeline
+
+    return sql.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
