@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, cut
+from tidemark.llm.common import connected_components, cut, delete_folder, new_folder
 
 UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Numbers of cells of the suffix filter's profile, and bits of the frequency sketch's index.
@@ -215,7 +215,7 @@ class NgramJoin:
         self.sets = self.profiled.where("block is null").select("doc_id", "n", "sig", "profile")
 
     def prefixes(self) -> DataFrame:
-        """(token, doc_id, n, pos) of the tokens that stand in two prefixes at least."""
+        """(token, doc_id, n, pos) of all tokens in prefixes."""
         return self.docs.mapInArrow(_prefix(self.width, self.percent, self.classes), PREFIXES)
 
     def same_sets(self) -> DataFrame:
@@ -249,14 +249,22 @@ class NgramJoin:
         out = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.width, self.percent), "a bigint, b bigint, linked boolean")
         return cut(out.groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
-    def components(self) -> DataFrame:
-        """(node, component) of all documents that are linked to another one."""
-        own = self.prefixes()
+    def posting_lists(self) -> DataFrame:
+        """Rows of the tokens that stand in two prefixes at least: token, me, chain (the row before) and hub (the first row), by place in the prefix."""
         lists = W.partitionBy("token").orderBy("pos", "n", "doc_id")
         me = F.struct("doc_id", "n", "pos")
-        near = own.withColumn("me", me).select("me", F.lag("me").over(lists).alias("chain"), F.first("me").over(lists.rowsBetween(W.unboundedPreceding, 0)).alias("hub"))
+        near = self.prefixes().select("token", me.alias("me"), F.lag(me).over(lists).alias("chain"), F.lead("doc_id").over(lists).alias("after"), F.first(me).over(lists.rowsBetween(W.unboundedPreceding, 0)).alias("hub"))
+        return near.where("chain is not null or after is not null").drop("after")
+
+    def components(self) -> DataFrame:
+        """(node, component) of all documents that are linked to another one."""
+        spark = self.docs.sparkSession
+        folder = new_folder(spark, "postings")
+        # most tokens are in one prefix only: the texts are gone through once for the others
+        self.posting_lists().write.parquet(folder)
+        own = spark.read.parquet(folder)
         first = (
-            near.where("chain is not null")
+            own.where("chain is not null")
             .select("me", F.explode(F.array_distinct(F.array("chain", "hub"))).alias("o"))
             .where((F.col("me.doc_id") != F.col("o.doc_id")) & _fits(F.col("me.n"), F.col("me.pos"), F.col("o.n"), F.col("o.pos"), self.percent))
             .select(F.least("me.doc_id", "o.doc_id").alias("a"), F.greatest("me.doc_id", "o.doc_id").alias("b"))
@@ -268,7 +276,8 @@ class NgramJoin:
         reached = cut(connected_components(edges))
 
         # what is left: pairs of one posting list that nothing has joined yet, each looked at once
-        labelled = own.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        rows = own.select("token", "me.*")
+        labelled = rows.join(reached.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
         open_lists = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
         rest = cut(labelled.join(open_lists, "token", "left_semi"))
         x, y = rest.alias("x"), rest.alias("y")
@@ -276,7 +285,9 @@ class NgramJoin:
         on = on & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), self.percent)
         second = x.join(y, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         more = self.verified(self.suffix_filtered(second)).where("linked").select("a", "b")
-        return connected_components(reached.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+        out = cut(connected_components(reached.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)))
+        delete_folder(spark, folder)
+        return out
 
 
 def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, broadcast_ids: int = 500_000) -> DataFrame:
@@ -298,7 +309,7 @@ def link_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, broadc
     link with nothing: component_id null. An empty table gives an empty table.
     """
     join = NgramJoin(docs, width, percent, broadcast_ids)
-    c = cut(join.components())
+    c = join.components()
     out = join.sets.join(c.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
