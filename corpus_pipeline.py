@@ -14,8 +14,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' label model keeps."""
-    judged = quality.judge(docs, features=False)
-    return judged.where("q_kept").select(docs.columns)
+    return quality.kept_rows(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +30,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    mixed = mixing.mix(docs, weights=queries.MIX_WEIGHTS, max_epochs=queries.MIX_EPOCHS)
-    return mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", "text")
+    mixed = mixing.mix(rows, weights=queries.MIX_WEIGHTS, max_epochs=queries.MIX_EPOCHS).where("mix_copies > 0")
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, cut
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
+#: Words of letters, with an apostrophe or hyphen within and one mark at the end at most.
+PLAIN = r"^[(\"']?\p{L}+(?:['’-]\p{L}+)*[.,;:!?)\"']?$"
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -35,6 +37,7 @@ def text_features(text: Column) -> dict[str, Column]:
         "q_chars": F.length(F.array_join("q_words", "")).cast("long"),
         "q_symbols": (F.length("q_text") - F.length(F.regexp_replace("q_text", r"[#*$%&|<>]+", ""))).cast("long"),
         "q_upper": (F.length("q_text") - F.length(F.regexp_replace("q_text", r"[A-Z]+", ""))).cast("long"),
+        "q_plain": F.size(F.filter("q_words", lambda w: w.rlike(PLAIN))),
         "q_lines": F.filter(F.split(c("q_text"), "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
         "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_windows": F.when(c("q_n_words") >= 3, hashes).otherwise(F.array().cast("array<bigint>")),
@@ -65,6 +68,7 @@ def default_rules() -> list[Rule]:
         Rule("length", c("q_n_words") >= 80, c("q_n_words") < 20),
         Rule("word_length", mean.between(3.5, 7.0), (mean < 2.5) | (mean > 12.0)),
         Rule("symbols", symbols <= 0.02, symbols > 0.2),
+        Rule("plain_words", c("q_plain") / n >= 0.75, c("q_plain") / n < 0.6),
         Rule("duplicate_lines", dup <= 0.05, dup > 0.4),
         Rule("repeated_windows", repeats <= 0.1, repeats > 0.4),
         Rule("capitals", upper <= 0.08, upper > 0.35),
@@ -89,17 +93,19 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.log_odds(votes)))
 
 
-def fit(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, rounds: int = 50, prior: float = 0.8, accuracy: float = 0.75) -> LabelModel:
+def fit(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, rounds: int = 100, prior: float = 0.9, sensitivity: float = 0.98, specificity: float = 0.3) -> LabelModel:
     """Expectation-maximisation over (votes, number of documents).
 
     There are at most 3 ** n_rules patterns whatever the size of the corpus, so this runs on the driver.
-    An abstention says nothing. A rule's accuracies on good and bad documents start alike and stay between
-    0.55 and 0.99, so classes can't change places and no rule decides alone; the prior stays between 0.5 and 0.98.
+    An abstention says nothing. A rule votes good on most good documents (a share that starts at `sensitivity`
+    and stays between 0.9 and 0.995) and bad on some bad ones (`specificity`, 0.05 to 0.95, as each rule
+    knows one kind of bad document only). These ranges tell the classes apart, so they can't change places; the
+    prior stays between 0.5 and 0.98. A few pseudo-documents keep rare votes from deciding.
     """
     clip = lambda x, lo, hi: min(hi, max(lo, x))
-    sens, spec = [accuracy] * n_rules, [accuracy] * n_rules
+    sens, spec = [sensitivity] * n_rules, [specificity] * n_rules
     for _ in range(rounds):
-        hits = [[1.0, 1.0 / accuracy, 1.0, 1.0 / accuracy] for _ in range(n_rules)]  # a pseudo-document for each
+        hits = [[2 * sensitivity, 2.0, 2 * specificity, 2.0] for _ in range(n_rules)]
         good = total = 0.0
         for votes, count in patterns:
             odds = math.log(prior / (1 - prior))
@@ -116,8 +122,8 @@ def fit(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, rounds: int
                     hits[j][1] += p * count
                     hits[j][2] += (1 - p) * count * (v == BAD)
                     hits[j][3] += (1 - p) * count
-        sens = [clip(h[0] / h[1], 0.55, 0.99) for h in hits]
-        spec = [clip(h[2] / h[3], 0.55, 0.99) for h in hits]
+        sens = [clip(h[0] / h[1], 0.9, 0.995) for h in hits]
+        spec = [clip(h[2] / h[3], 0.05, 0.95) for h in hits]
         prior = clip(good / total if total else prior, 0.5, 0.98)
     return LabelModel(prior, tuple({GOOD: s, BAD: 1 - s} for s in sens), tuple({GOOD: 1 - s, BAD: s} for s in spec))
 
@@ -146,25 +152,32 @@ def base_failed() -> Column:
     return (F.col("q_n_words") < 50) | (100 * F.col("q_repeat_words") > 50 * F.col("q_n_words"))
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", threshold: float = 0.5, features: bool = True) -> DataFrame:
-    """Adds q_posterior (chance that the document is good), q_base_failed and q_kept, and the counts if asked for.
+def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The columns of docs but for the text, with counts, q_posterior (chance that the document is good), q_base_failed and q_kept.
 
     Null text counts as empty: no words, so base-failed. A corpus without documents gives no rows. Repeated
     rows get equal verdicts. A document is kept if it passes the base limits and q_posterior >= threshold.
-    With features=True the features are computed once and written to the shared folder without the texts,
-    so docs should be narrow; with False the rows pass through and the features are computed again.
+    Each text is gone through once; its counts and votes are written to the shared folder. Columns of docs
+    that have the name of a result are replaced by it.
     """
     rules = default_rules() if rules is None else rules
     counts = ["q_n_words", "q_chars", "q_symbols", "q_dup_lines", "q_repeat_words"]
-    if features:
-        keep = [c for c in docs.columns if c != text]
-        base = cut(with_features(docs, text).select(*[F.col("row")[c].alias(c) for c in keep], *counts, base_failed().alias("q_base_failed"), votes_of(rules).alias("q_votes")))
-        patterns = base.groupBy("q_votes").count().collect()
-        model = fit([(r["q_votes"], r["count"]) for r in patterns], len(rules))
-        votes = [F.col("q_votes")[j] for j in range(len(rules))]
-    else:
-        model = learn(docs, rules, text)
-        base = with_features(docs, text).select("row", base_failed().alias("q_base_failed"), votes_of(rules).alias("q_votes")).select("row.*", "q_base_failed", "q_votes")
-        votes = [F.col("q_votes")[j] for j in range(len(rules))]
-    posterior = model.posterior(votes)
+    made = {*counts, "q_base_failed", "q_votes", "q_posterior", "q_kept"}
+    keep = [c for c in docs.columns if c != text and c not in made]
+    base = cut(with_features(docs, text).select(*[F.col("row")[c].alias(c) for c in keep], *counts, base_failed().alias("q_base_failed"), votes_of(rules).alias("q_votes")))
+    patterns = base.groupBy("q_votes").count().collect()
+    model = fit([(r["q_votes"], r["count"]) for r in patterns], len(rules))
+    posterior = model.posterior([F.col("q_votes")[j] for j in range(len(rules))])
     return base.withColumn("q_posterior", posterior).withColumn("q_kept", ~F.col("q_base_failed") & (posterior >= threshold))
+
+
+def kept_rows(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judge() would keep, all columns as they are.
+
+    Each text is gone through twice, once for the votes' counts and once to decide, so that no text is
+    written or shuffled.
+    """
+    rules = default_rules() if rules is None else rules
+    votes = [r.vote() for r in rules]
+    posterior = learn(docs, rules, text).posterior(votes)
+    return with_features(docs, text).where(~base_failed() & (posterior >= threshold)).select("row.*")
