@@ -243,11 +243,11 @@ class Engine:
 
     @staticmethod
     def _facts_of(name: str, types: Mapping[str, str], points: DataFrame) -> DataFrame:
-        """Rows of series_id, time, tags, ingest_seq and typed fields; points of one series and instant become one row."""
+        """Rows of series_id, time, __ns, tags, ingest_seq and typed fields; points of one series and instant become one row."""
         at = F.timestamp_micros(F.expr("(time_ns - pmod(time_ns, 1000)) div 1000")).cast("timestamp_ntz").alias("time")
-        facts = points.select(_series_id(name), at, "tags", "seq", *[_typed(F.col("fields")[f], k).alias(f) for f, k in types.items()])
+        facts = points.select(_series_id(name), at, F.pmod("time_ns", F.lit(1000)).cast("smallint").alias("__ns"), "tags", "seq", *[_typed(F.col("fields")[f], k).alias(f) for f, k in types.items()])
         newest = [F.max_by(F.col(quoted(f)), F.when(F.col(quoted(f)).isNotNull(), F.col("seq"))).alias(f) for f in types]
-        return facts.groupBy("series_id", "time").agg(F.first("tags").alias("tags"), F.max("seq").alias("ingest_seq"), *newest)
+        return facts.groupBy("series_id", "time", "__ns").agg(F.first("tags").alias("tags"), F.max("seq").alias("ingest_seq"), *newest)
 
     def select_into(self, q: Select, db: str | None = None, rp: str | None = None) -> int:
         """Runs a SELECT INTO: numbers are written as floats, null fields and rows without any are left out; returns the points written."""
@@ -358,14 +358,14 @@ class Engine:
         folder = self._folder(db, rp, name)
         tag_map = F.map_from_arrays(F.array(*[F.lit(t) for t in tags]), F.array(*[F.col(quoted(t)) for t in tags])) if tags else F.create_map().cast("map<string,string>")
         filled = F.map_filter(tag_map, lambda _, v: v != "")
-        extra = [c for c in partial.columns if c.startswith("__")]
+        extra = [c for c in partial.columns if c.startswith(("__first_at_", "__last_at_"))]
         rows = partial.select(filled.alias("tags"), "time", *[F.col(quoted(f)).cast(SPARK_TYPES[k]).alias(f) for f, k in meta["fields"].items()], *[F.col(quoted(e)) for e in extra])
         rows = rows.withColumn("series_id", _series_id(name))
         series = rows.select("series_id", "tags").dropDuplicates(["series_id"])
         if self.files.exists(f"{folder}/series"):
             series = series.join(self.spark.read.schema("series_id bigint").parquet(f"{folder}/series"), "series_id", "left_anti")
         series.write.mode("append").parquet(f"{folder}/series")
-        facts = rows.drop("tags").withColumn("ingest_seq", F.lit(batch).cast("long")).withColumn("date", F.col("time").cast("date"))
+        facts = rows.drop("tags").withColumn("__ns", F.lit(0).cast("smallint")).withColumn("ingest_seq", F.lit(batch).cast("long")).withColumn("date", F.col("time").cast("date"))
         # combining on read adds partials up, so batches are kept apart: a retried one must not add to itself
         done = meta.setdefault("batches", [])
         if batch in done:

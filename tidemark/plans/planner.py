@@ -116,6 +116,8 @@ class Planner:
         if transforms:
             return self.transformed(q, table, rows, fields, names, tags, tag_columns)
         conditions = Conditions(s, self.now_ns)
+        if not any(s.find(i) for f in fields for i in idents(f.expr)):
+            rows = rows.where(F.lit(False))  # none of the columns exists
         picked = [(n, conditions.value(f.expr)) for n, f in zip(names, fields, strict=True) if not (isinstance(f.expr, Ident) and f.expr.name.lower() == "time")]
         df = rows.select("time", *[F.col(quoted(c)).alias(t) for t, c in zip(tags, tag_columns, strict=True)], *[c.alias(n) for n, c in picked])
         return self.finish(q, table.name, df, tags, [n for n, _ in picked], has_time=True)

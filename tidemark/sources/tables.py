@@ -51,7 +51,10 @@ class FrameTable:
 
 
 class StoredTable:
-    """A measurement in a folder: facts/date=... (series_id, time, ingest_seq, fields) and series (series_id, tags)."""
+    """A measurement in a folder: facts/v.../date=... (series_id, time, __ns, ingest_seq, fields) and series (series_id, tags).
+
+    time has microseconds; __ns, the nanoseconds beyond them, keeps instants apart that differ in these only.
+    """
 
     def __init__(self, spark: SparkSession, name: str, folder: str, meta: dict, tombstones: Callable[[Schema], Column | None], broadcast_bytes: int = 64 << 20, series_bytes: int | None = None):
         self.spark, self.name, self.folder, self.meta, self.tombstones = spark, name, folder, meta, tombstones
@@ -65,7 +68,7 @@ class StoredTable:
         return raw.select("series_id", *[F.coalesce(F.col("tags")[t], F.lit("")).alias(self.schema.tag_column(t)) for t in self.schema.tags])
 
     def facts(self, fields: list[str], bounds: Bounds) -> DataFrame:
-        """series_id, time, ingest_seq, these fields and the times of first and last partials, of the dates in bounds.
+        """series_id, time, __ns, ingest_seq, these fields and the times of first and last partials, of the dates in bounds.
 
         Files are kept apart by version of the schema: a version ends when a field's type is widened, and older
         versions are cast. Fields that a version lacks are null.
@@ -74,7 +77,7 @@ class StoredTable:
         times = [f"__{rollups[f]}_at_{f}" for f in fields if rollups.get(f) in ("first", "last")]
         out = None
         for v, types in enumerate(self.meta["versions"]):
-            cols = ["series_id bigint", "time timestamp_ntz", "ingest_seq bigint", *[f"{quoted(f)} {SPARK_TYPES[types.get(f, kinds[f])]}" for f in fields], *[f"{quoted(t)} bigint" for t in times], "date date"]
+            cols = ["series_id bigint", "time timestamp_ntz", "__ns smallint", "ingest_seq bigint", *[f"{quoted(f)} {SPARK_TYPES[types.get(f, kinds[f])]}" for f in fields], *[f"{quoted(t)} bigint" for t in times], "date date"]
             df = self.spark.read.schema(", ".join(cols)).parquet(f"{self.folder}/facts/v{v}")
             if bounds.lo is not None:
                 low = timestamp_literal(bounds.lo)
@@ -82,7 +85,7 @@ class StoredTable:
             if bounds.hi is not None:
                 high = timestamp_literal(bounds.hi)
                 df = df.where((F.col("date") <= high.cast("date")) & (F.col("time") <= high))
-            df = df.select("series_id", "time", "ingest_seq", *[F.col(quoted(f)).cast(SPARK_TYPES[kinds[f]]).alias(f) for f in fields], *[F.col(quoted(t)) for t in times])
+            df = df.select("series_id", "time", "__ns", "ingest_seq", *[F.col(quoted(f)).cast(SPARK_TYPES[kinds[f]]).alias(f) for f in fields], *[F.col(quoted(t)) for t in times])
             out = df if out is None else out.union(df)
         return out
 
@@ -109,5 +112,5 @@ class StoredTable:
             if gone is not None:
                 df = df.where(~F.coalesce(gone, F.lit(False)))
             df = df.select(*[F.col(quoted(c)) for c in before])
-        df = coalesced(df, ["series_id", "time"], fields, [F.col("ingest_seq")], self.meta["rollups"])
+        df = coalesced(df, ["series_id", "time", "__ns"], fields, [F.col("ingest_seq")], self.meta["rollups"])
         return tagged(df, tags).select("time", *[F.col(quoted(c)) for c in [*tags, *fields]])
