@@ -23,8 +23,10 @@ ASSIGN_MIN = 6
 #: Candidates of the battery: maximal runs of the characters that encodings use.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
-ENCODINGS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
-ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Letters from common to rare. Alphabets are in this order, so that cells of neighbours are far from even in prose.
+BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
+ALNUM = "".join(c + c.upper() for c in BY_FREQUENCY) + "0123456789"
+ENCODINGS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", BY_FREQUENCY.upper() + "234567"))
 #: Lower ends of the length classes within which false discoveries are controlled.
 LENGTHS = (20, 28, 40, 64, 128)
 
