@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import same_rows
+from comparing import same_rows
 from tidemark.queries import QUERIES, queries
 
 
