@@ -71,7 +71,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", F.col("q_n_words").cast("long").alias("n_words"), F.col("q_chars").alias("word_chars"), F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"),
-        F.col("q_repeat_words").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_posterior").alias("posterior"),
+        F.col("q_repeat_words").alias("n_repeat_words"), F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.round("q_posterior", 6).alias("posterior"),
     )
 
 

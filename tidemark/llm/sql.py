@@ -63,9 +63,51 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM m
 """
 
+
+
+def quality_rules(rules: int = 7, rounds: int = 100) -> str:
+    """The counts and votes of the quality rules, and their expectation-maximisation as a recursive query over vote patterns."""
+    j = range(rules)
+    log_odds = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE v{i} WHEN 1 THEN ln(s{i} / (1 - t{i})) WHEN -1 THEN ln((1 - s{i}) / t{i}) ELSE 0 END" for i in j)
+    start = ", ".join(f"0.98::DOUBLE AS s{i}, 0.3::DOUBLE AS t{i}" for i in j)
+    step = ", ".join(
+        f"greatest(0.9, least(0.995, (1.96 + sum(CASE WHEN v{i} = 1 THEN p * n ELSE 0 END)) / (2.0 + sum(CASE WHEN v{i} <> 0 THEN p * n ELSE 0 END))))::DOUBLE AS s{i}, "
+        f"greatest(0.05, least(0.95, (0.6 + sum(CASE WHEN v{i} = -1 THEN (1 - p) * n ELSE 0 END)) / (2.0 + sum(CASE WHEN v{i} <> 0 THEN (1 - p) * n ELSE 0 END))))::DOUBLE AS t{i}"
+        for i in j
+    )
+    v = ", ".join(f"v{i}" for i in j)
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+             list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri FROM w),
+f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper,
+             len(list_filter(ws, lambda x: regexp_matches(x, '^[("'']?\p{{L}}+(?:[''’-]\p{{L}}+)*[.,;:!?)"'']?$'))) AS plain, tri FROM l),
+u AS (SELECT doc_id, unnest(tri) AS g, unnest(range(len(tri))) AS i FROM f),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS twins FROM u) CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE twins > 1 GROUP BY doc_id),
+x AS MATERIALIZED (SELECT f.*, coalesce(c.n, 0) AS n_repeat_words, greatest(n_words, 1)::DOUBLE AS n FROM f LEFT JOIN c USING (doc_id)),
+votes AS MATERIALIZED (SELECT *,
+  CASE WHEN n_words < 20 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END AS v0,
+  CASE WHEN word_chars / n < 2.5 OR word_chars / n > 12 THEN -1 WHEN word_chars / n BETWEEN 3.5 AND 7 THEN 1 ELSE 0 END AS v1,
+  CASE WHEN n_symbols / n > 0.2 THEN -1 WHEN n_symbols / n <= 0.02 THEN 1 ELSE 0 END AS v2,
+  CASE WHEN plain / n < 0.6 THEN -1 WHEN plain / n >= 0.75 THEN 1 ELSE 0 END AS v3,
+  CASE WHEN n_dup_lines / greatest(n_lines, 1)::DOUBLE > 0.4 THEN -1 WHEN n_dup_lines / greatest(n_lines, 1)::DOUBLE <= 0.05 THEN 1 ELSE 0 END AS v4,
+  CASE WHEN n_repeat_words / n > 0.4 THEN -1 WHEN n_repeat_words / n <= 0.1 THEN 1 ELSE 0 END AS v5,
+  CASE WHEN upper / greatest(word_chars, 1)::DOUBLE > 0.35 THEN -1 WHEN upper / greatest(word_chars, 1)::DOUBLE <= 0.08 THEN 1 ELSE 0 END AS v6 FROM x),
+patterns AS MATERIALIZED (SELECT {v}, count(*) AS n FROM votes GROUP BY ALL),
+em AS (SELECT 0 AS k, 0.9::DOUBLE AS prior, {start}
+  UNION ALL
+  SELECT k + 1, greatest(0.5, least(0.98, sum(p * n) / sum(n)))::DOUBLE AS prior, {step}
+  FROM (SELECT em.k, patterns.*, 1 / (1 + exp(-({log_odds}))) AS p FROM em CROSS JOIN patterns) WHERE k < {rounds} GROUP BY k),
+judged AS (SELECT votes.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({log_odds}))) AS posterior FROM votes CROSS JOIN (SELECT * FROM em WHERE k = {rounds}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, round(posterior, 6) AS posterior FROM judged
+"""
+
+
 ORACLES = {
     "op3_url_filter": URL_FILTER,
     "op5_source_mix": SOURCE_MIX,
+    "op7_quality_rules": quality_rules(),
     "op8_ngram_join": NGRAM_JOIN,
     "op9_embedding_dedup": EMBEDDING_DEDUP,
     "op10_warc_round_trip": WARC_ROUND_TRIP,
