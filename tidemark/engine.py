@@ -19,7 +19,7 @@ from tidemark.plans.digest import StatementLog
 from tidemark.plans.parser import parse, parse_one
 from tidemark.plans.planner import Frame, Planner, cq_select
 from tidemark.plans.resolve import Bounds, Conditions, Schema, full_or_prefix_match
-from tidemark.sources import line_protocol
+from tidemark.sources import line_protocol, msgpack
 from tidemark.sources.catalog import SPARK_TYPES, Catalog, merged, new_measurement, policy
 from tidemark.sources.fsio import Files
 from tidemark.sources.tables import FrameTable, StoredTable
@@ -162,6 +162,16 @@ class Engine:
             lines = self.spark.createDataFrame([(x,) for x in held], "value string")
         return self.write_points(line_protocol.parse_lines(lines, precision, self.now()), db=db, rp=rp)
 
+    def write_files(self, path: str, *, db: str | None = None, rp: str | None = None, precision: str | None = None) -> int:
+        """Line protocol files, plain or gzipped, read by the executors."""
+        return self.write_points(line_protocol.parse_lines(self.spark.read.text(path), precision, self.now()), db=db, rp=rp)
+
+    def write_msgpack(self, body: bytes | DataFrame, *, columnar: bool = False, db: str | None = None, rp: str | None = None) -> int:
+        """A MessagePack body, or a frame with a binary column content, a body each (as the binaryFile source gives)."""
+        bodies = body if isinstance(body, DataFrame) else self.spark.createDataFrame([(bytearray(body),)], "content binary")
+        parse_bodies = msgpack.parse_columnar if columnar else msgpack.parse_bodies
+        return self.write_points(parse_bodies(bodies, self.now()), db=db, rp=rp)
+
     def write_points(self, points: DataFrame, *, db: str | None = None, rp: str | None = None, guard: bool = True) -> int:
         """Points as line_protocol.POINTS has them; returns their number.
 
@@ -426,6 +436,26 @@ class Engine:
                         touched += self._drop_before(f"{folder}/facts/{v}", cut_us)
         return touched
 
+    def compact(self, measurement: str, *, db: str | None = None, rp: str | None = None) -> None:
+        """Rewrites a measurement's files: one row for each series and instant, in the newest types, sorted by series within its date.
+
+        Nothing changes for queries. The new files are complete before they take the old ones' place.
+        """
+        db = db or self.default_db
+        rp = self.catalog.rp(db, rp)
+        meta = self.catalog.measurement(db, rp, measurement)
+        if meta is None:
+            raise QueryError(f"measurement not found: {measurement}")
+        table = self._table(db, rp, measurement)
+        folder, fields = self._folder(db, rp, measurement), list(meta["fields"])
+        rows = table.merged(fields)
+        self.files.delete(f"{folder}/compacting")
+        rows.withColumn("date", F.col("time").cast("date")).repartition("date").sortWithinPartitions("date", "series_id", "time").write.partitionBy("date").parquet(f"{folder}/compacting/v0")
+        self.files.delete(f"{folder}/facts")
+        self.files.move(f"{folder}/compacting", f"{folder}/facts")
+        meta["versions"] = [dict(meta["fields"])]
+        self.catalog.save()
+
     def _drop_before(self, folder: str, cut_us: int) -> int:
         from datetime import datetime, timedelta
 

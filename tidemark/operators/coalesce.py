@@ -11,8 +11,8 @@ from tidemark.operators.aggregates import quoted
 COMBINE = ("sum", "count", "min", "max", "first", "last")
 
 
-def coalesced(df: DataFrame, keys: list[str], fields: list[str], order: list[Column], rollups: dict[str, str] | None = None) -> DataFrame:
-    """Groups by keys; each field takes its last non-null value in the order of writing, or combines as its rollup says."""
+def coalesced(df: DataFrame, keys: list[str], fields: list[str], order: list[Column], rollups: dict[str, str] | None = None, also: list[Column] | None = None) -> DataFrame:
+    """Groups by keys; each field takes its last non-null value in the order of writing, or combines as its rollup says; `also` has further aggregates."""
     rollups = rollups or {}
     seq = order[0] if len(order) == 1 else F.struct(*order)
     aggs = []
@@ -29,6 +29,7 @@ def coalesced(df: DataFrame, keys: list[str], fields: list[str], order: list[Col
         else:
             out = F.max_by(c, F.when(c.isNotNull(), seq))
         aggs.append(out.alias(f))
+    aggs += also or []
     if not aggs:
         return df.select(*[F.col(quoted(k)) for k in keys]).distinct()
     return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(*aggs)

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.engine import Engine
 from tidemark.sources.fsio import scratch_folder
-from tidemark.sources.line_protocol import columnar_points, points_frame
+from tidemark.sources.line_protocol import columnar_points, encode, parse_lines
 from tidemark.streaming.rollup import windowed_counts
 
 #: Decimals to which both sides round floats: sums differ in their last digits by the order of addition.
@@ -99,21 +99,19 @@ def _stored(spark: SparkSession, sf_dir: str) -> Engine:
     e.query("CREATE DATABASE stored")
     rows = e.sql(f"SELECT value, event_id FROM events WHERE {RANGE} GROUP BY event_type, user_id", ordered=False)
     lines = encode_rows(rows, "ev")
-    e.write_points(_parsed(lines), db="stored")
-    e.write_points(_parsed(encode_rows(rows.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1), "ev")), db="stored")
+    e.write_points(parse_lines(lines), db="stored")
+    e.write_points(parse_lines(encode_rows(rows.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1), "ev")), db="stored")
     return e
 
 
 def encode_rows(rows: DataFrame, name: str) -> DataFrame:
-    from tidemark.sources.line_protocol import encode
-
     return encode(rows, name, {"event_type": "event_type", "user_id": "user_id"}, {"value": ("value", "float"), "event_id": ("event_id", "integer")})
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    from tidemark.sources.line_protocol import parse_lines
-
-    return parse_lines(lines)
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _stored(spark, sf_dir)
+    e.compact("ev", db="stored")
+    return e.sql("SELECT sum(value) AS s, count(event_id) AS n FROM ev GROUP BY event_type", db="stored", ordered=False)
 
 
 def _stored_select(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -140,7 +138,7 @@ def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
     e.query("CREATE DATABASE stored")
     rows = e.sql(f"SELECT value, event_id FROM events WHERE {RANGE} GROUP BY event_type, user_id", ordered=False)
-    part = lambda k: _parsed(encode_rows(rows.where(f"event_id % 3 = {k}"), "ev"))
+    part = lambda k: parse_lines(encode_rows(rows.where(f"event_id % 3 = {k}"), "ev"))
     e.write_points(part(0), db="stored")
     e.query("CREATE MATERIALIZED VIEW v ON stored WITH BACKFILL AS SELECT sum(value) AS s, count(value) AS n, min(value) AS lo, max(value) AS hi, first(value) AS f, last(value) AS l, mean(value) AS m INTO roll FROM ev GROUP BY time(6h), event_type", db="stored")
     e.write_points(part(1), db="stored")
@@ -179,12 +177,18 @@ def _columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT sum(value) AS s, count(value) AS n FROM ev GROUP BY event_type", ordered=False)
 
 
-def _typed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed points as a decoded MessagePack body has them."""
+# A MessagePack body of two points, {measurement m, tags {host a}, fields {v 1.5, ok true, name a}, timestamp 1 s} and the same of host b with 2.5 at 2 s.
+BODY = bytes.fromhex(
+    "92"
+    "84ab6d6561737572656d656e74a16d a474616773 81a4686f7374a161 a66669656c6473 83a176cb3ff8000000000000a26f6bc3a46e616d65a161 a974696d657374616d70 ce3b9aca00"
+    "84ab6d6561737572656d656e74a16d a474616773 81a4686f7374a162 a66669656c6473 83a176cb4004000000000000a26f6bc3a46e616d65a162 a974696d657374616d70 ce77359400"
+)
+
+
+def _msgpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, scratch_folder(spark, "engine"), now=lambda: NOW_NS)
-    points = [{"measurement": "m", "tags": {"host": h}, "fields": {"v": v, "ok": v > 1, "name": h}, "timestamp": t * 10**9} for h, v, t in (("a", 1.5, 1), ("b", 2.5, 2), ("a", 3.5, 3))]
-    e.write_points(points_frame(points, spark))
-    return e.sql("SELECT v, ok, \"name\" FROM m GROUP BY host", ordered=False)
+    e.write_msgpack(BODY)
+    return e.sql('SELECT v, ok, "name" FROM m GROUP BY host', ordered=False)
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +347,8 @@ QUERIES: dict[str, Query] = {
     "stream_windows": Query(_watermarked),
     "export_import": Query(_export_import, f"SELECT ts AS time, event_type, {NEW_VALUE} AS value, event_id FROM events WHERE {SQL_RANGE}", ("value",)),
     "columnar_source": Query(_columnar, "SELECT event_type, sum(value) AS s, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL", ("s",)),
-    "typed_points_source": Query(_typed_points, "SELECT TIMESTAMP '1970-01-01 00:00:01' AS time, 'a' AS host, 1.5::DOUBLE AS v, true AS ok, 'a' AS \"name\" UNION ALL SELECT TIMESTAMP '1970-01-01 00:00:02', 'b', 2.5, true, 'b' UNION ALL SELECT TIMESTAMP '1970-01-01 00:00:03', 'a', 3.5, true, 'a'"),
+    "msgpack_source": Query(_msgpack, "SELECT TIMESTAMP '1970-01-01 00:00:01' AS time, 'a' AS host, 1.5::DOUBLE AS v, true AS ok, 'a' AS \"name\" UNION ALL SELECT TIMESTAMP '1970-01-01 00:00:02', 'b', 2.5, true, 'b'"),
+    "compacted": Query(_compacted, f"SELECT event_type, sum({NEW_VALUE}) AS s, count(event_id) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL", ("s",)),
     "retention": Query(_retention, "SELECT event_type, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05 12:00:00' AND ts < TIMESTAMP '2024-01-07' GROUP BY ALL"),
     # metadata and results
     "show_measurements": Query(_metadata("SHOW MEASUREMENTS", "name string"), "SELECT unnest(['events', 'lineitem', 'orders']) AS name"),

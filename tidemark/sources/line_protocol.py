@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -104,7 +104,8 @@ def parse_line(line: str, precision: str | None = None, now_ns: int = 0) -> tupl
     return measurement, tags, values, types, ns
 
 
-def _rows(points: list[tuple]) -> pa.RecordBatch:
+def record_batch(points: list[tuple]) -> pa.RecordBatch:
+    """Rows of POINTS."""
     kv = pa.map_(pa.string(), pa.string())
     types = [pa.string(), kv, kv, kv, pa.int64(), pa.string()]
     names = ["measurement", "tags", "fields", "types", "time_ns", "error"]
@@ -124,30 +125,11 @@ def parse_lines(lines: DataFrame, precision: str | None = None, now_ns: int = 0)
                         out.append((*p, None))
                 except LineError as e:
                     out.append((None, None, None, None, None, f"{e}: {line}"[:500]))
-            yield _rows(out)
+            yield record_batch(out)
 
     return lines.select("value").mapInArrow(run, POINTS)
 
 
-def points_frame(points: Iterable[Mapping], spark) -> DataFrame:
-    """Points given as mappings with measurement, tags, fields (Python values) and timestamp (ns), as a decoded MessagePack body has them."""
-
-    def typed(v: object) -> tuple[str, str]:
-        if isinstance(v, bool):
-            return "boolean", str(v).lower()
-        if isinstance(v, int):
-            return ("integer" if v < 1 << 63 else "unsigned"), str(v)
-        if isinstance(v, float):
-            return "float", repr(v)
-        return "string", str(v)
-
-    rows = []
-    for p in points:
-        kinds = {k: typed(v) for k, v in p["fields"].items()}
-        rows.append((p["measurement"], dict(p.get("tags") or {}), {k: v[1] for k, v in kinds.items()}, {k: v[0] for k, v in kinds.items()}, p.get("timestamp"), None))
-    return spark.createDataFrame(rows, POINTS)
-
-
 def columnar_points(batches: DataFrame, now_ns: int) -> DataFrame:
     """Points of columnar batches (measurement, tags, field, values, timestamps): one float field and a row for each value.
 

@@ -89,6 +89,13 @@ class StoredTable:
             out = df if out is None else out.union(df)
         return out
 
+    def merged(self, fields: list[str]) -> DataFrame:
+        """All facts as they are stored, but one row for each series and instant."""
+        rollups = self.meta["rollups"]
+        held = {f"__{rollups[f]}_at_{f}": F.min if rollups[f] == "first" else F.max for f in fields if rollups.get(f) in ("first", "last")}
+        also = [F.max("ingest_seq").alias("ingest_seq"), *[how(quoted(c)).alias(c) for c, how in held.items()]]
+        return coalesced(self.facts(fields, Bounds()), ["series_id", "time", "__ns"], fields, [F.col("ingest_seq")], rollups, also)
+
     def rows(self, fields: list[str], tags: list[str], early: Column | None, bounds: Bounds) -> DataFrame:
         """Facts coalesced by series and instant, with tags. Conditions on time and tags come first: a series has one set of tags."""
         df = self.facts(fields, bounds)
