@@ -180,4 +180,7 @@ def kept_rows(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str =
     rules = default_rules() if rules is None else rules
     votes = [r.vote() for r in rules]
     posterior = learn(docs, rules, text).posterior(votes)
-    return with_features(docs, text).where(~base_failed() & (posterior >= threshold)).select("row.*")
+    kept = (~base_failed() & (posterior >= threshold)).alias("q_kept")
+    # the row number keeps the optimizer from moving the condition below the features, where it would compute each of them over and over
+    judged = with_features(docs, text).select("row", kept, F.monotonically_increasing_id().alias("q_at"))
+    return judged.where("q_kept and q_at >= 0").select("row.*")
