@@ -186,7 +186,8 @@ class Engine:
             raise WriteError("an engine without a root holds no data of its own")
         now = self.now()
         # later writes have larger numbers; within one, lines in the order of their partitions and places
-        seq = F.lit(batch << 40) + F.shiftright(F.monotonically_increasing_id(), 33) * (1 << 26) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 26) - 1))
+        at = F.monotonically_increasing_id()
+        seq = F.lit(batch << 44) + F.shiftright(at, 33) * (1 << 27) + at.bitwiseAND(F.lit((1 << 27) - 1))
         points.withColumn("time_ns", F.coalesce("time_ns", F.lit(now))).withColumn("seq", seq).write.mode("overwrite").parquet(stage)
         try:
             staged = self.spark.read.parquet(stage)
@@ -247,7 +248,7 @@ class Engine:
         series.write.mode("append").parquet(f"{folder}/series")
         merged_rows = self._facts_of(name, meta["versions"][-1], points).drop("tags").withColumn("date", F.col("time").cast("date"))
         v = len(meta["versions"]) - 1
-        merged_rows.repartition("date").sortWithinPartitions("date", "series_id", "time").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v{v}")
+        merged_rows.hint("rebalance", "date").sortWithinPartitions("date", "series_id", "time").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v{v}")
         meta["series_bytes"] = int(self.spark.read.parquet(f"{folder}/series").count()) * 200
         self.catalog.put_measurement(db, rp, name, meta)
 
@@ -380,7 +381,7 @@ class Engine:
         done = meta.setdefault("batches", [])
         if batch in done:
             return
-        facts.repartition("date").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v0")
+        facts.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v0")
         done.append(batch)
         meta["series_bytes"] = int(self.spark.read.parquet(f"{folder}/series").count()) * 200
         self.catalog.put_measurement(db, rp, name, meta)
@@ -450,7 +451,7 @@ class Engine:
         folder, fields = self._folder(db, rp, measurement), list(meta["fields"])
         rows = table.merged(fields)
         self.files.delete(f"{folder}/compacting")
-        rows.withColumn("date", F.col("time").cast("date")).repartition("date").sortWithinPartitions("date", "series_id", "time").write.partitionBy("date").parquet(f"{folder}/compacting/v0")
+        rows.withColumn("date", F.col("time").cast("date")).hint("rebalance", "date").sortWithinPartitions("date", "series_id", "time").write.partitionBy("date").parquet(f"{folder}/compacting/v0")
         self.files.delete(f"{folder}/facts")
         self.files.move(f"{folder}/compacting", f"{folder}/facts")
         meta["versions"] = [dict(meta["fields"])]

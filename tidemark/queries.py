@@ -215,6 +215,34 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line int, text string")
 
 
+def _after(statements: str, show: str, columns: str, **how: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Rows that a SHOW gives after some statements, on an engine with the test tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
+        e.query(statements, **how)
+        return spark.createDataFrame([tuple(r) for s in e.query(show, **how)[0].get("series", []) for r in s["values"]], columns)
+
+    return run
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON result, read back by Spark."""
+    from tidemark.result import to_json
+
+    text = to_json(engine(spark, sf_dir).query(f"SELECT count(value) AS n FROM events WHERE {RANGE} GROUP BY time(1d), event_type", epoch="s"))
+    schema = "results array<struct<statement_id: int, series: array<struct<name: string, tags: map<string, string>, columns: array<string>, values: array<array<bigint>>>>>>"
+    parsed = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", schema).alias("j")).select(F.explode("j.results").alias("r")).select(F.explode("r.series").alias("s"))
+    return parsed.select(F.col("s.tags")["event_type"].alias("event_type"), F.explode("s.values").alias("v")).select("event_type", F.col("v")[0].alias("epoch"), F.col("v")[1].alias("n"))
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements by shape: two that differ in literals only are one."""
+    e = engine(spark, sf_dir)
+    e.query("SHOW DATABASES; SELECT max(value) FROM events WHERE event_type = 'click'; SELECT max(value) FROM events WHERE event_type = 'error'")
+    return spark.createDataFrame([(x.count, x.failed) for x in e.log.held.values()], "n long, failed long")
+
+
 def _watermarked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streaming tumbling windows, all of them final once the input has ended."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -357,6 +385,22 @@ QUERIES: dict[str, Query] = {
     "show_tag_values": Query(_metadata("SHOW TAG VALUES FROM events WITH KEY = event_type", "key string, value string"), "SELECT DISTINCT 'event_type' AS key, event_type AS value FROM events"),
     "show_series": Query(_metadata("SHOW SERIES FROM orders", "key string"), "SELECT DISTINCT 'orders,o_orderpriority=' || o_orderpriority || ',o_orderstatus=' || o_orderstatus AS key FROM orders"),
     "show_retention_policies": Query(_metadata("SHOW RETENTION POLICIES", "name string, duration string, shardGroupDuration string, replicaN long, `default` boolean"), "SELECT 'autogen' AS name, '0s' AS duration, '168h0m0s' AS shardGroupDuration, 1::BIGINT AS replicaN, true AS \"default\""),
+    "show_databases": Query(_after("CREATE DATABASE extra; DROP DATABASE nosuch", "SHOW DATABASES", "name string"), "SELECT unnest(['extra', 'main']) AS name"),
+    "retention_policies": Query(
+        _after("CREATE DATABASE d WITH DURATION 30d NAME month; CREATE RETENTION POLICY p ON d DURATION 2h REPLICATION 1; ALTER RETENTION POLICY p ON d DURATION INF DEFAULT; CREATE RETENTION POLICY q ON d DURATION 1w REPLICATION 2; DROP RETENTION POLICY month ON d", "SHOW RETENTION POLICIES ON d", "name string, duration string, shardGroupDuration string, replicaN long, `default` boolean"),
+        "SELECT * FROM (VALUES ('p', '0s', '168h0m0s', 1::BIGINT, true), ('q', '168h0m0s', '24h0m0s', 2::BIGINT, false)) AS t(name, duration, shardGroupDuration, replicaN, \"default\")",
+    ),
+    "drop_measurement": Query(_after("DROP MEASUREMENT orders", "SHOW MEASUREMENTS WITH MEASUREMENT =~ /e/", "name string"), "SELECT unnest(['events', 'lineitem']) AS name"),
+    "show_continuous_queries": Query(
+        _after("CREATE CONTINUOUS QUERY a ON main RESAMPLE EVERY 1h FOR 2h BEGIN SELECT mean(value) INTO x FROM events GROUP BY time(1h) END; CREATE CONTINUOUS QUERY b ON main BEGIN SELECT max(value) INTO y FROM events GROUP BY time(1h) END; DROP CONTINUOUS QUERY b ON main", "SHOW CONTINUOUS QUERIES", "name string, query string"),
+        "SELECT 'a' AS name, 'CREATE CONTINUOUS QUERY a ON main RESAMPLE EVERY 1h FOR 2h BEGIN SELECT mean(value) INTO x FROM events GROUP BY time(1h) END' AS query",
+    ),
+    "show_materialized_views": Query(
+        _after("CREATE MATERIALIZED VIEW v ON main AS SELECT sum(value) INTO r FROM events GROUP BY time(1h); CREATE MATERIALIZED VIEW w ON main AS SELECT sum(value) INTO s FROM events GROUP BY time(1h); DROP MATERIALIZED VIEW w ON main", "SHOW MATERIALIZED VIEWS", "name string, database string, query string, source string, dest string"),
+        "SELECT 'v' AS name, 'main' AS database, 'SELECT sum(value) INTO r FROM events GROUP BY time(1h)' AS query, 'events' AS source, 'r' AS dest",
+    ),
+    "json_result": Query(_json, f"SELECT event_type, epoch_us({bucket('1 day')}) // 1000000 AS epoch, count(value) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL"),
+    "statement_summary": Query(_summary, "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT), (2::BIGINT, 0::BIGINT)) AS t(n, failed)"),
     "csv_result": Query(_csv),
 }
 
