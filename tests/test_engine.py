@@ -127,6 +127,17 @@ def test_hours_when_clocks_go_back(make):
     assert out(e, "SELECT sum(v) FROM m GROUP BY time(1h) fill(none) tz('America/New_York')") == [[1793509200, 1], [1793512800, 2]]
 
 
+def test_sparse_series_on_a_long_grid(make):
+    e = make([(t, {"host": "h"}, {"a": 1.0, "b": 2.0, "c": 3.0}) for t in (5, 700, 1500, 2400, 3500)])
+    got = out(e, "SELECT mean(a), mean(b), mean(c) FROM m WHERE time >= 0s AND time < 3600s GROUP BY time(10s), host fill(null)")
+    assert set(got) == {("h",)} and len(got["h",]) == 360 and sum(r[1] is not None for r in got["h",]) == 5
+
+
+def test_names_of_measurements(make):
+    e = make(v((1, 1)), name="a.b")
+    assert out(e, 'SELECT v FROM "a.b"') == out(e, 'SELECT v FROM main.autogen."a.b"') == out(e, 'SELECT v FROM main.."a.b"') == out(e, 'SELECT v FROM autogen."a.b"') == [[1, 1]]
+
+
 def test_subqueries_sources_and_missing(make):
     e = make(v((1, 1), (2, 2)))
     assert out(e, "SELECT mean(v) FROM (SELECT * FROM m)") == [[1.5]]
@@ -202,8 +213,10 @@ def test_tombstones_and_drops(engine):
     assert out(engine, "SELECT v FROM m") == [[2, 2], [3, 3]]
     engine.query("DROP SERIES FROM m WHERE host = 'b' AND time >= 3s")
     assert out(engine, "SELECT v FROM m") == [[2, 2]]
+    engine.query("DROP SERIES FROM m WHERE host = 'a'")
+    assert engine.query("SHOW SERIES")[0]["series"][0]["values"] == [["m,host=b"]]
     engine.query("DELETE FROM m")
-    assert out(engine, "SELECT v FROM m") == []
+    assert out(engine, "SELECT v FROM m") == [] and engine.query("SHOW SERIES") == [{"statement_id": 0}]
     engine.query("DROP MEASUREMENT m")
     assert engine.query("SHOW MEASUREMENTS") == [{"statement_id": 0}]
 

@@ -520,7 +520,7 @@ class Engine:
         """Distinct tag sets of a table, those that WHERE leaves."""
         columns = [t.schema.tag_column(x) for x in t.schema.tags]
         early = None if s.get("where") is None else Conditions(t.schema, self.now()).column(s.get("where"))
-        if isinstance(t, StoredTable) and early is None:
+        if isinstance(t, StoredTable) and early is None and not t.meta["tombstones"]:
             return t.series().select(*[F.col(quoted(c)) for c in columns]).distinct() if columns else self.spark.range(1).select()
         return t.rows([], columns, early, Bounds()).select(*[F.col(quoted(c)) for c in columns]).distinct()
 
