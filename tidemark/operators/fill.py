@@ -21,8 +21,9 @@ def fill_gaps(df: DataFrame, tags: list[str], key: str, items: list[str], step:
     """
     mode = "previous" if fill.mode == "linear" and linear_compat else fill.mode
     w = Window.partitionBy(*[F.col(quoted(t)) for t in tags]) if tags else Window.partitionBy()
+    # what follows is found in descending order: a frame that reaches to the end would be gone through anew for each row
+    upto, after = w.orderBy(F.col(key)).rowsBetween(Window.unboundedPreceding, 0), w.orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
     w = w.orderBy(F.col(key))
-    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     k = F.col(key)
     own = {"__next": F.lead(k).over(w), "__prev": F.lag(k).over(w)}
     kinds: dict[str, DataType] = {f.name: f.dataType for f in df.schema.fields}
@@ -32,7 +33,7 @@ def fill_gaps(df: DataFrame, tags: list[str], key: str, items: list[str], step:
             own[f"__pv{i}"] = F.last(x, True).over(upto)
         if mode == "linear" and isinstance(kinds[name], NumericType):
             at = F.when(x.isNotNull(), k)
-            own |= {f"__pk{i}": F.last(at, True).over(upto), f"__nv{i}": F.first(x, True).over(after), f"__nk{i}": F.first(at, True).over(after)}
+            own |= {f"__pk{i}": F.last(at, True).over(upto), f"__nv{i}": F.last(x, True).over(after), f"__nk{i}": F.last(at, True).over(after)}
     out = df.withColumns(own)
     first = k if lo is None else F.least(F.lit(lo), k)
     last = k if hi is None else F.greatest(F.lit(hi), k)
