@@ -2,37 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import quoted
 from tidemark.plans.ast import QueryError
 
 SECOND = 1_000_000_000
+#: Transforms that need the row before, or sums of what came before.
+CHUNKED = ("derivative", "non_negative_derivative", "difference", "non_negative_difference", "elapsed", "cumulative_sum")
 
 
-def series_window(tags: list[str], order: str) -> object:
-    w = Window.partitionBy(*[F.col(quoted(t)) for t in tags]) if tags else Window.partitionBy()
-    return w.orderBy(F.col(quoted(order)))
+class InOrder:
+    """Rows of each series in the order of a column: one partition of a window for each."""
 
+    def __init__(self, tags: list[str], order: str):
+        w = Window.partitionBy(*[F.col(quoted(t)) for t in tags]) if tags else Window.partitionBy()
+        self.window = w.orderBy(F.col(quoted(order)))
 
-def transform(name: str, x: Column, us: Column, window: object, *, unit_ns: int = SECOND, n: int = 1) -> Column:
-    """The transform of x over a window whose order is time; us is that time in microseconds."""
-    seconds = (us - F.lag(us).over(window)) / F.lit(1e6)
+    def before(self, x: Column, key: str) -> Column:
+        """x in the row before."""
+        return F.lag(x).over(self.window)
+
+    def so_far(self, x: Column, key: str) -> Column:
+        """Sum of x up to this row."""
+        return F.sum(x).over(self.window.rowsBetween(Window.unboundedPreceding, 0))
+
+
+class InChunks(InOrder):
+    """The same for one series that may be very long: rows in windows of a day, which know where the days before ended.
+
+    Only one row a day goes through a window of its own; the rows themselves are ordered within their day.
+    """
+
+    def __init__(self, order: str):
+        self.window = Window.partitionBy("__day").orderBy(F.col(quoted(order)))
+
+    @staticmethod
+    def prepare(df: DataFrame, order: str, numbers: dict[str, Column]) -> DataFrame:
+        """Adds __day, and for each number its last value and its sum before that day."""
+        d = df.withColumn("__day", F.col(quoted(order)).cast("date")).withColumns({f"__n_{k}": c for k, c in numbers.items()})
+        ends = [F.max_by(f"__n_{k}", quoted(order)).alias(f"__end_{k}") for k in numbers]
+        sums = [F.sum(f"__n_{k}").alias(f"__of_{k}") for k in numbers]
+        w = Window.orderBy("__day")
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        days = d.groupBy("__day").agg(*ends, *sums)
+        held = days.select("__day", *[F.lag(f"__end_{k}").over(w).alias(f"__before_{k}") for k in numbers], *[F.sum(f"__of_{k}").over(earlier).alias(f"__sum_{k}") for k in numbers])
+        return d.join(held, "__day").drop(*[f"__n_{k}" for k in numbers])
+
+    def before(self, x: Column, key: str) -> Column:
+        return F.when(F.row_number().over(self.window) == 1, F.col(f"__before_{key}")).otherwise(F.lag(x).over(self.window))
+
+    def so_far(self, x: Column, key: str) -> Column:
+        own = F.sum(x).over(self.window.rowsBetween(Window.unboundedPreceding, 0))
+        carried = F.col(f"__sum_{key}")
+        return F.coalesce(own + carried, own, carried)
+
+
+def transform(name: str, x: Column, us: Column, rows: InOrder, *, key: str = "", unit_ns: int = SECOND, n: int = 1) -> Column:
+    """The transform of x over rows in the order of time; us is that time in microseconds, key names x for `rows`."""
+    seconds = (us - rows.before(us, "us")) / F.lit(1e6)
     unit = unit_ns / SECOND
     if name.endswith("derivative"):
-        d = F.try_divide(x - F.lag(x).over(window), seconds / F.lit(unit))
+        d = F.try_divide(x - rows.before(x, key), seconds / F.lit(unit))
         return F.when(d >= 0, d) if name.startswith("non_negative") else d
     if name.endswith("difference"):
-        d = x - F.lag(x).over(window)
+        d = x - rows.before(x, key)
         return F.when(d >= 0, d) if name.startswith("non_negative") else d
     if name == "moving_average":
         if n < 1:
             raise QueryError("moving_average() needs a positive number of points")
-        w = window.rowsBetween(-(n - 1), 0)
+        w = rows.window.rowsBetween(-(n - 1), 0)
         return F.when(F.count(x).over(w) == n, F.avg(x).over(w))
     if name == "cumulative_sum":
-        return F.sum(x).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.so_far(x, key)
     if name == "elapsed":
         return seconds / F.lit(unit)
     raise QueryError(f"unknown function {name}()")

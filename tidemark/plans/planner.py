@@ -15,7 +15,7 @@ from tidemark.operators.aggregates import ONE_FIELD, aggregate, mean_of_rollup,
 from tidemark.operators.buckets import Buckets, instant, micros
 from tidemark.operators.fill import fill_gaps
 from tidemark.operators.limits import limit_rows, limit_series
-from tidemark.operators.transforms import SECOND, series_window, transform
+from tidemark.operators.transforms import CHUNKED, SECOND, InChunks, InOrder, transform
 from tidemark.plans.ast import Binary, Call, Dur, Field, Fill, Ident, Lit, Measurement, QueryError, Regex, Select, Star, conjuncts
 from tidemark.plans.parser import AGGREGATES, TRANSFORMS
 from tidemark.plans.resolve import Bounds, Conditions, Schema, arithmetic, bounds_of, calls, equal_tags, idents, time_comparison
@@ -230,13 +230,12 @@ class Planner:
         for name in value_keys.values():
             df = df.where(F.col(name).isNotNull())
 
-        order = "__b" if buckets is not None else None
         kinds = {f.name: f.dataType for f in df.schema.fields}
 
         def value(e: object) -> Column:
             if isinstance(e, Call):
                 if e.name in TRANSFORMS:
-                    return self.transform(e, tags, order, lambda x: value_nested(x))
+                    return self.transform(e, InOrder(tags, "__b") if buckets is not None else None, F.col("__b"), value_nested)
                 if e.name == "distinct":
                     return F.col(value_keys[e])
                 c = F.col(columns[e, False])
@@ -311,7 +310,7 @@ class Planner:
 
     # Transforms
 
-    def transform(self, c: Call, tags: list[str], order: str | None, argument: Callable[[object], Column], order_us: Column | None = None) -> Column:
+    def transform(self, c: Call, rows: InOrder | None, us: Column | None, argument: Callable[[object], Column], key: str = "") -> Column:
         takes_n = c.name == "moving_average"
         most = 2 if takes_n or c.name.endswith("derivative") or c.name == "elapsed" else 1
         if not 1 <= len(c.args) <= most or takes_n and len(c.args) != 2:
@@ -327,19 +326,25 @@ class Planner:
                 unit = second.ns
             else:
                 raise QueryError(f"{c.name}() takes a duration")
-        if order is None:
+        if rows is None:
             raise QueryError(f"{c.name}() of an aggregate needs GROUP BY time()")
-        us = F.col(order) if order_us is None else order_us
-        return transform(c.name, argument(c.args[0]), us, series_window(tags, order), unit_ns=unit, n=n)
+        return transform(c.name, argument(c.args[0]), us, rows, key=key, unit_ns=unit, n=n)
 
     def transformed(self, q: Select, table: Table, rows: DataFrame, fields: list[Field], names: list[str], tags: list[str], tag_columns: list[str]) -> Frame:
         """Transforms of raw fields; rows where all of them are null go."""
         s = table.schema
         conditions = Conditions(s, self.now_ns)
+        found = [c for f in fields for c in calls(f.expr)]
+        order = InOrder(tag_columns, "time")
+        keys = {name: f"x{i}" for i, name in enumerate(sorted({self.field_of(c, s) for c in found}))}
+        if not tags and all(c.name in CHUNKED for c in found):
+            order = InChunks("time")
+            rows = InChunks.prepare(rows, "time", {"us": micros(F.col("time"))} | {k: F.col(quoted(name)) for name, k in keys.items()})
 
         def value(e: object) -> Column:
             if isinstance(e, Call):
-                return self.transform(e, tag_columns, "time", lambda x: F.col(quoted(self.field_of(Call(e.name, (x,)), s))), micros(F.col("time")))
+                name = self.field_of(e, s)
+                return self.transform(e, order, micros(F.col("time")), lambda _: F.col(quoted(name)), keys[name])
             if isinstance(e, Binary) and e.op in "+-*/%":
                 return arithmetic(e.op, value(e.left), value(e.right))
             return conditions.value(e)

@@ -309,6 +309,11 @@ QUERIES: dict[str, Query] = {
         "SELECT time, event_type, x FROM (SELECT ts AS time, event_type, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS x FROM events) WHERE x IS NOT NULL", ("x",),
     ),
     "cumulative_sum_raw": Query(f"SELECT cumulative_sum(value) AS x FROM events WHERE {RANGE} GROUP BY event_type", f"SELECT ts AS time, event_type, sum(value) OVER (PARTITION BY event_type ORDER BY ts) AS x FROM events WHERE {SQL_RANGE}", ("x",)),
+    "untagged_raw": Query(
+        "SELECT difference(value) AS d, cumulative_sum(value) AS c, elapsed(value, 1s) AS e, derivative(value, 1h) AS r, non_negative_difference(event_id) AS i FROM events WHERE event_type = 'click'",
+        """SELECT time, d, c, e, r, i FROM (SELECT ts AS time, value - lag(value) OVER w AS d, sum(value) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS e,
+        (value - lag(value) OVER w) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 3.6e9, 0) AS r, CASE WHEN event_id >= lag(event_id) OVER w THEN event_id - lag(event_id) OVER w END AS i FROM events WHERE event_type = 'click' WINDOW w AS (ORDER BY ts))""", ("d", "c", "e", "r"),
+    ),
     # fill
     "fill_default": _filled("", "SELECT time, event_type, m FROM j"),
     "fill_null": _filled("fill(null)", "SELECT time, event_type, m FROM j"),
