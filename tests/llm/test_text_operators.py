@@ -264,7 +264,7 @@ def test_mix_by_brute_force(spark):
     mix = lambda d, **how: mixing.mix(d, size=F.col("size"), **how).selectExpr("doc_id", "source", "size", "mix_source_size source_size", "mix_target target", "size * mix_copies taken").collect()
     rows = mix(df)
     check_mix([(s, z) for _, s, z in docs], rows)
-    again = mix(df.repartition(7), rows_per_bin=10, broadcast_sources=0)
+    again = mix(df.repartition(7), broadcast_sources=0)
     assert {(x["doc_id"], x["taken"]) for x in rows} == {(x["doc_id"], x["taken"]) for x in again}
 
 

@@ -33,7 +33,7 @@ def source_targets(totals: DataFrame, weights: Sequence[float], max_epochs: floa
     t = (
         t.withColumn("total", F.sum("source_size").over(everything).cast("double"))
         .withColumn("capped", F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("open_w", F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
+        .withColumn("open_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("level", (F.col("total") - F.coalesce("capped", F.lit(0.0))) / F.col("open_w"))
         .withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"])
     )
@@ -51,17 +51,17 @@ def mix(
     seed: int = 17,
     weights: Sequence[float] = (5.0, 2.0, 1.0),
     max_epochs: float = 3.0,
-    rows_per_bin: int = 20_000,
     broadcast_sources: int = 20_000,
 ) -> DataFrame:
     """Adds mix_size, mix_source_size, mix_target and mix_copies to docs.
 
     A source whose target is r times its size takes floor(r) complete epochs; the rest of the budget goes to
     the documents with the smallest exponential keys -ln(u) / weight (u: a hash of the key columns and seed,
-    so that reruns agree), as many as fit by prefix sum, and one more if that ends nearer to the budget.
+    so that reruns agree), as many as fit by prefix sum. One more goes on top, that which ends nearest to the budget, if that is nearer than without.
 
-    The prefix sum needs no task that holds a source: keys fall into bins of about rows_per_bin rows, sizes
-    are summed by (source, bin), and only the bin in which the budget ends is sorted row by row. What comes
+    The prefix sum needs no task that holds a source: the keys of a source of n rows fall into the square root
+    of n bins, sizes are summed by (source, bin), and only the bin in which the budget ends, of about as many rows, is
+    sorted row by row. What comes
     back to the rows is one cut per source, broadcast if there are at most broadcast_sources of them and
     joined by source otherwise.
 
@@ -91,7 +91,7 @@ def mix(
         .drop("s2")
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
         .withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-        .withColumn("bins", F.greatest(F.lit(1), F.ceil(F.col("rows") / rows_per_bin)).cast("long"))
+        .withColumn("bins", F.ceil(F.sqrt("rows")).cast("long"))
     )
     plan = cut(plan)
     few = plan.count() <= broadcast_sources
@@ -111,24 +111,28 @@ def mix(
     )
     edge = placed.join(hint(last_bin) if few else last_bin, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("bin") == F.col("__b")))
     upto = F.sum("__size").over(W.partitionBy("__src").orderBy("__rank", "__tie").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
-    cuts = (
-        edge.withColumn("upto", upto)
-        # taken whole: what ends within the budget, and the next one if that is nearer
-        .where((F.col("upto") <= F.col("budget")) | (F.col("upto") - F.col("budget") < F.col("budget") - (F.col("upto") - F.col("__size"))))
-        .groupBy(F.col("__src").alias("__c"))
-        .agg(F.max(F.struct("__rank", "__tie")).alias("cut"))
-    )
-    none_in_bin = last_bin.select(F.col("__s").alias("__n"), F.col("__b").cast("double").alias("__b"))
+    here = F.struct("__rank", "__tie")
+    fits = F.col("upto") <= F.col("budget")
+    cuts = edge.withColumn("upto", upto).groupBy(F.col("__src").alias("__c")).agg(F.max(F.when(fits, here)).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("filled"), F.max("before").alias("before"), F.max("bin").alias("cut_bin"))
+    cuts = cut(cuts.select("__c", "cut", "cut_bin", F.coalesce("filled", "before").alias("filled")))
+
+    def within(cut_key: Column, cut_bin: Column) -> Column:
+        """Whether a row lies before the cut; where no row of the last bin fits, that bin's lower end is the cut."""
+        bin_of = F.least(F.floor(F.col("__rank") * F.col("bins")), F.col("bins") - 1)
+        return F.when(cut_key.isNotNull(), here <= cut_key).otherwise(bin_of < cut_bin)
+
+    # one more document, that which ends nearest to the budget, if it ends nearer than none
+    left = placed.join(hint(cuts), F.col("__src").eqNullSafe(F.col("__c"))).where(~within(F.col("cut"), F.col("cut_bin")))
+    left = left.withColumn("gap", F.col("budget") - F.col("filled")).withColumn("off", F.abs(F.col("__size") - F.col("gap"))).where("off < gap")
+    nearest = left.groupBy(F.col("__src").alias("__n")).agg(F.min("off").alias("least"))
+    top_up = left.join(hint(nearest), F.col("__src").eqNullSafe(F.col("__n")) & (F.col("off") == F.col("least"))).groupBy(F.col("__src").alias("__t")).agg(F.min(here).alias("top_up"))
     p = plan.select(F.col("source").alias("__p"), "source_size", "target", "epochs", "budget", "bins")
-    p = p.join(cuts, F.col("__p").eqNullSafe(F.col("__c")), "left").drop("__c").join(none_in_bin, F.col("__p").eqNullSafe(F.col("__n")), "left").drop("__n")
+    p = p.join(cuts, F.col("__p").eqNullSafe(F.col("__c")), "left").drop("__c", "filled").join(top_up, F.col("__p").eqNullSafe(F.col("__t")), "left").drop("__t")
     p = cut(p)
-    # where no row of the last bin fits, the cut is the bin's lower end; without a last bin the budget takes all
-    here = F.struct("__rank", "__tie")
     extra = (
         F.when(F.col("budget") <= 0, 0)
-        .when(F.col("cut").isNotNull(), (here <= F.col("cut")).cast("int"))
-        .when(F.col("__b").isNotNull(), (F.least(F.floor(F.col("__rank") * F.col("bins")), F.col("bins") - 1) < F.col("__b")).cast("int"))
-        .otherwise(1)
+        .when(F.col("cut_bin").isNull(), 1)  # the budget takes all
+        .otherwise((within(F.col("cut"), F.col("cut_bin")) | F.coalesce(here == F.col("top_up"), F.lit(False))).cast("int"))
     )
     copies = F.least(F.col("epochs") + extra, F.lit(int(max_epochs)))
     out = own.join(hint(p), F.col("__src").eqNullSafe(F.col("__p")))

@@ -29,8 +29,9 @@ b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-1
 c AS (SELECT *, greatest(0, target - epochs * source_size) AS budget FROM b),
 o AS (SELECT r.doc_id, r.size, r.rank, r.tie, c.*, sum(r.size) OVER (PARTITION BY c.source ORDER BY r.rank, r.tie, r.size ROWS UNBOUNDED PRECEDING) AS upto
       FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source),
-e AS (SELECT *, max(CASE WHEN upto <= budget OR upto - budget < budget - (upto - size) THEN upto END) OVER (PARTITION BY source) AS last FROM o)
-SELECT doc_id, size, source_size, target, CAST(size * CASE WHEN size = 0 THEN 0 ELSE epochs + CASE WHEN budget > 0 AND upto <= coalesce(last, -1) THEN 1 ELSE 0 END END AS BIGINT) AS taken FROM e
+g AS (SELECT *, budget - coalesce(max(CASE WHEN upto <= budget THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM o),
+e AS (SELECT *, upto > budget AND abs(size - gap) < gap AND row_number() OVER (PARTITION BY source, upto > budget AND abs(size - gap) < gap ORDER BY abs(size - gap), rank, tie, size) = 1 AS top_up FROM g)
+SELECT doc_id, size, source_size, target, CAST(size * CASE WHEN size = 0 THEN 0 ELSE epochs + CASE WHEN budget > 0 AND (upto <= budget OR top_up) THEN 1 ELSE 0 END END AS BIGINT) AS taken FROM e
 """
 
 NGRAM_JOIN = r"""
