@@ -96,6 +96,15 @@ def test_compaction_changes_no_answer(spark, engine):
     assert values(engine, texts[1])[0][2:4] == [5, 20.5]
 
 
+def test_a_batch_of_a_stream_counts_once(spark, engine):
+    engine.write("m,h=a v=1 1000000000")
+    engine.query("CREATE MATERIALIZED VIEW mv ON main AS SELECT sum(v) AS s INTO roll FROM m GROUP BY time(1m), h")
+    rows = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS time, 'a' AS h, 5.0D AS s")
+    for batch in (-7, -7, -8):
+        engine._append_partials("main", "autogen", "roll", rows, ["h"], batch)
+    assert values(engine, "SELECT sum(s) FROM roll") == [[10]]
+
+
 def test_stream_feeds_a_view_once(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/root")
     source = f"file://{tmp_path}/in"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time as clock
+import zlib
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 
@@ -364,7 +365,7 @@ class Engine:
         return rows.withColumnsRenamed({schema.tag_column(t): t for t in tags if schema.tag_column(t) != t})
 
     def _append_partials(self, db: str, rp: str, name: str, partial: DataFrame, tags: list[str], batch: int) -> None:
-        """Appends a batch of partial rows; a batch that was written before is replaced, so retries don't count twice."""
+        """Appends a batch of partial rows. Those of streams have negative numbers, and one that is there already is left alone, so a retry doesn't count twice."""
         meta = self.catalog.measurement(db, rp, name)
         folder = self._folder(db, rp, name)
         tag_map = F.map_from_arrays(F.array(*[F.lit(t) for t in tags]), F.array(*[F.col(quoted(t)) for t in tags])) if tags else F.create_map().cast("map<string,string>")
@@ -377,15 +378,22 @@ class Engine:
             series = series.join(self.spark.read.schema("series_id bigint").parquet(f"{folder}/series"), "series_id", "left_anti")
         series.write.mode("append").parquet(f"{folder}/series")
         facts = rows.drop("tags").withColumn("__ns", F.lit(0).cast("smallint")).withColumn("ingest_seq", F.lit(batch).cast("long")).withColumn("date", F.col("time").cast("date"))
-        # combining on read adds partials up, so batches are kept apart: a retried one must not add to itself
-        done = meta.setdefault("batches", [])
-        if batch in done:
+        if batch < 0 and self._has_batch(f"{folder}/facts/v0", facts, batch):
             return
         facts.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v0")
-        done.append(batch)
         meta["series_bytes"] = int(self.spark.read.parquet(f"{folder}/series").count()) * 200
         self.catalog.put_measurement(db, rp, name, meta)
 
+    def _has_batch(self, folder: str, facts: DataFrame, batch: int) -> bool:
+        """Whether rows of a batch are in the dates that it has rows for."""
+        if not self.files.exists(folder):
+            return False
+        days = facts.agg(F.min("date"), F.max("date")).first()
+        if days[0] is None:
+            return True
+        held = self.spark.read.schema("ingest_seq bigint, date date").parquet(folder)
+        return bool(held.where(F.col("date").between(*days) & (F.col("ingest_seq") == batch)).head(1))
+
     def view_stream(self, db: str, name: str, source: DataFrame, checkpoint: str, *, time: str, once: bool = True):
         """Feeds a materialized view from a stream of rows (time, tags, fields): partials of every micro-batch are appended."""
         mv = self.catalog.database(db)["mvs"][name]
@@ -393,13 +401,16 @@ class Engine:
         columns = rollup.definition(q)
         tags = self.catalog.measurement(db, mv["rp"], mv["dest"])["tags"]
 
+        # numbers start anew with another checkpoint, so that is part of them
+        stream = zlib.crc32(checkpoint.encode()) & 0xFFFFF
+
         def batch(df: DataFrame, number: int) -> None:
             rows = df.withColumnRenamed(time, "time").withColumn("time", F.col("time").cast("timestamp_ntz"))
             rows = rows.withColumns({t: F.coalesce(F.col(quoted(t)).cast("string"), F.lit("")) for t in tags})
             if q.where is not None:
                 kinds = {f.name: f.dataType for f in rows.schema.fields if f.name not in ("time", *tags)}
                 rows = rows.where(Conditions(Schema(kinds, tuple(tags)), self.now()).column(q.where))
-            self._append_partials(db, mv["rp"], mv["dest"], rollup.partials(rows, q, columns, tags), tags, -1 - number)
+            self._append_partials(db, mv["rp"], mv["dest"], rollup.partials(rows, q, columns, tags), tags, -1 - (stream << 40 | number))
             self.catalog.save()
 
         return rollup.run_stream(source, batch, checkpoint, once=once)
