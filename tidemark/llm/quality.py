@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, cut
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
-#: Words of letters, with an apostrophe or hyphen within and one mark at the end at most.
-PLAIN = r"^[(\"']?\p{L}+(?:['’-]\p{L}+)*[.,;:!?)\"']?$"
+#: Words of letters, with an apostrophe or hyphen within and one mark at each end at most.
+PLAIN = rf"""(?<![^{SPACE}])[("']?\p{{L}}++(?:['’-]\p{{L}}++)*+[.,;:!?)"']?(?![^{SPACE}])"""
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -37,7 +37,7 @@ def text_features(text: Column) -> dict[str, Column]:
         "q_chars": F.length(F.array_join("q_words", "")).cast("long"),
         "q_symbols": (F.length("q_text") - F.length(F.regexp_replace("q_text", r"[#*$%&|<>]+", ""))).cast("long"),
         "q_upper": (F.length("q_text") - F.length(F.regexp_replace("q_text", r"[A-Z]+", ""))).cast("long"),
-        "q_plain": F.size(F.filter("q_words", lambda w: w.rlike(PLAIN))),
+        "q_plain": F.regexp_count("q_text", F.lit(PLAIN)),
         "q_lines": F.filter(F.split(c("q_text"), "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
         "q_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_windows": F.when(c("q_n_words") >= 3, hashes).otherwise(F.array().cast("array<bigint>")),
