@@ -215,6 +215,19 @@ class Engine:
             self.files.delete(stage)
         return total
 
+    def ingest_stream(self, lines: DataFrame, checkpoint: str, *, db: str | None = None, rp: str | None = None, precision: str | None = None, once: bool = True):
+        """Writes a stream of line protocol (column value), a micro-batch at a time.
+
+        A batch that runs again after a failure writes the same points again, which reading takes as one.
+        Lines that can't be parsed are left out, as a stream can't be refused as a whole.
+        """
+
+        def batch(df: DataFrame, number: int) -> None:
+            points = line_protocol.parse_lines(df, precision, self.now()).where("error is null")
+            self.write_points(points, db=db, rp=rp, guard=False)
+
+        return rollup.run_stream(lines, batch, checkpoint, once=once)
+
     def _checked(self, db: str, rp: str, by_name: dict, staged: DataFrame | None) -> dict[str, dict]:
         """The measurements' schemas after the write; raises before anything is written."""
         out = {}

@@ -201,6 +201,16 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT sum(s) AS s, sum(n) AS n FROM roll GROUP BY time(1d), event_type fill(none)", ordered=False)
 
 
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line protocol files of two days, read as a stream and written into an engine."""
+    e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
+    folder = scratch_folder(spark, "lines")
+    rows = e.sql(f"SELECT value, event_id FROM events WHERE {RANGE} GROUP BY event_type, user_id", ordered=False)
+    encode_rows(rows, "streamed").write.option("compression", "gzip").text(folder)
+    e.ingest_stream(spark.readStream.text(folder), folder + "-state").awaitTermination()
+    return e.sql("SELECT sum(value) AS s, count(event_id) AS n FROM streamed GROUP BY event_type", ordered=False)
+
+
 def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stored(spark, sf_dir)
     e.query("ALTER RETENTION POLICY autogen ON stored DURATION 36h", db="stored")
@@ -377,6 +387,7 @@ QUERIES: dict[str, Query] = {
     ),
     "materialized_view_stream": Query(_streamed, f"SELECT {bucket('1 day')} AS time, event_type, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL", ("s",)),
     "continuous_query": Query(_continuous, f"SELECT {bucket('1 hour')} AS time, event_type, avg(value) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-05 09:00:00' AND ts < TIMESTAMP '2024-01-05 12:00:00' GROUP BY ALL", ("m",)),
+    "stream_ingest": Query(_stream_ingest, f"SELECT event_type, sum(value) AS s, count(event_id) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL", ("s",)),
     "stream_windows": Query(_watermarked),
     "export_import": Query(_export_import, f"SELECT ts AS time, event_type, {NEW_VALUE} AS value, event_id FROM events WHERE {SQL_RANGE}", ("value",)),
     "columnar_source": Query(_columnar, "SELECT event_type, sum(value) AS s, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL", ("s",)),
