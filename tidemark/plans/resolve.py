@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
 from tidemark.functions.durations import parse_instant
 from tidemark.operators.aggregates import quoted
-from tidemark.plans.ast import Binary, Call, Dur, Ident, Instant, Lit, Not, Now, QueryError, Regex, conjuncts, walk
+from tidemark.plans.ast import Binary, Call, Dur, Ident, Instant, Lit, Not, Now, QueryError, conjuncts, walk
 
 MIN_NS, MAX_NS = -(1 << 63), (1 << 63) - 1
 
