@@ -38,7 +38,7 @@ def shingles_of(text: str | None, width: int) -> set[tuple[bytes, ...]]:
 class WordHashes(dict):
     """64-bit hashes of words; at most `most` are kept."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         import xxhash
 
@@ -139,8 +139,10 @@ def frequency_classes(profiled: DataFrame) -> np.ndarray:
 
 def _prefix(width: int, percent: int, classes) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
         order = classes.value
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
             tokens, ids, ns, places = [], [], [], []
 
@@ -153,11 +155,11 @@ def _prefix(width: int, percent: int, classes) -> object:
                 n = len(x)
                 if n == 0 or doc_id is None:
                     continue
-                whole = hash(x.tobytes())
-                if (whole, n) in seen:
+                whole = xxh3_128_intdigest(x.tobytes())
+                if whole in seen:
                     continue  # an equal set of this task stands for it; their digests link them
-                if len(seen) < 200_000:
-                    seen.add((whole, n))
+                if len(seen) < 100_000:
+                    seen.add(whole)
                 p = n - least_overlap(n, percent) + 1
                 # the global order: rare first by the sketch, then by hash; a token's key is its place in it
                 key = (order[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(51)) | (x & np.uint64((1 << 51) - 1))
