@@ -31,6 +31,8 @@ class WordIds(dict):
 
     # letters and signs to U+024F without controls, spaces, < (special tokens start so) and what normalization changes
     PLAIN = re.compile("[!-;=-~¡-ɏ]*")
+    #: Marks that are a token piece of their own after a word.
+    MARKS = frozenset(".,;:!?")
 
     def __init__(self, path: str, most: int = 300_000):
         super().__init__()
@@ -47,9 +49,12 @@ class WordIds(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if self.PLAIN.fullmatch(part):
+        if part.isascii() and part.isalpha():
+            ids = array.array("I", [t.id for t in self.tokens(part.lower())])
+        elif self.PLAIN.fullmatch(part):
             ids = array.array("I")
-            for p in self.parts(part.lower()):
+            head = part[:-1]
+            for p in (head.lower(), part[-1]) if part[-1:] in self.MARKS and head.isascii() and head.isalpha() else self.parts(part.lower()):
                 ids.extend([t.id for t in self.tokens(p if p.isascii() else p.encode().decode("latin1").translate(self.bytes))])
         else:
             ids = array.array("I", self.whole.encode(part, add_special_tokens=False).ids)
@@ -162,20 +167,22 @@ def pack(items: DataFrame, *, limit: int = 4096, per_task: int = 100_000, fan_in
     """
     n = items.count()
     parts = max(1, -(-n // per_task))
-    placed, current, k = None, items.select("item", "fill"), 1
+    steps: list[DataFrame] = []
+    current = items.select("item", "fill")
     while True:
         dealt = current.repartition(parts, F.xxhash64("item")) if parts > 1 else current.coalesce(1)
-        done = cut(dealt.mapInArrow(_pack(k, limit, slack, most_open), ASSIGNED))
-        step = done.select("item", "bin", "at")
-        if placed is None:
-            placed = step
-        else:
-            up = step.select(F.col("item").alias("up_item"), F.col("bin").alias("up_bin"), F.col("at").alias("up_at"))
-            placed = placed.join(up, F.col("bin") == F.col("up_item"), "left").select("item", F.coalesce("up_bin", "bin").alias("bin"), (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at"))
+        done = cut(dealt.mapInArrow(_pack(len(steps) + 1, limit, slack, most_open), ASSIGNED))
+        steps.append(done.select("item", "bin", "at"))
         if parts == 1:
             break
         current = done.where("open").groupBy(F.col("bin").alias("item")).agg(F.max("bin_fill").alias("fill"))
-        parts, k = -(-parts // fan_in), k + 1
+        parts = -(-parts // fan_in)
+    # where bins ended up, from the last round back: only the first step has a row for each item
+    placed = steps.pop()
+    while steps:
+        up = placed.select(F.col("item").alias("up_item"), F.col("bin").alias("up_bin"), F.col("at").alias("up_at"))
+        below = steps.pop().join(up, F.col("bin") == F.col("up_item"), "left")
+        placed = below.select("item", F.coalesce("up_bin", "bin").alias("bin"), (F.col("at") + F.coalesce("up_at", F.lit(0))).alias("at"))
     return placed.select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
 
 
