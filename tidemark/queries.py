@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,10 @@ def bucket(width: str, column: str = "ts", origin: str = "1970-01-01") -> str:
 
 RANGE = "time >= '2024-01-05T00:00:00Z' AND time < '2024-01-07T00:00:00Z'"
 SQL_RANGE = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07'"
+#: What a query reads back by default; what it loads before is always the whole table.
+BOUND = f"WHERE {RANGE}"
+# all days of events, where a fill needs the ends of its grid
+WHOLE = "time >= '2024-01-01T00:00:00Z' AND time < '2024-01-31T00:00:00Z'"
 # sub-hour buckets of two kinds of events leave gaps
 GAPPY = "event_type =~ /^(click|error)$/ AND time >= '2024-01-05T00:00:00Z' AND time < '2024-01-05T12:00:00Z'"
 SQL_GAPPY = "event_type IN ('click', 'error') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-05 12:00:00'"
@@ -94,10 +99,10 @@ def _metadata(statement: str, columns: str) -> Callable[[SparkSession, str], Dat
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine that holds the events of two days, written as line protocol in two overlapping batches."""
+    """An engine that holds all events, written as line protocol in two overlapping batches."""
     e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
     e.query("CREATE DATABASE stored")
-    rows = e.sql(f"SELECT value, event_id FROM events WHERE {RANGE} GROUP BY event_type, user_id", ordered=False)
+    rows = e.sql("SELECT value, event_id FROM events GROUP BY event_type, user_id", ordered=False)
     lines = encode_rows(rows, "ev")
     e.write_points(parse_lines(lines), db="stored")
     e.write_points(parse_lines(encode_rows(rows.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1), "ev")), db="stored")
@@ -108,10 +113,10 @@ def encode_rows(rows: DataFrame, name: str) -> DataFrame:
     return encode(rows, name, {"event_type": "event_type", "user_id": "user_id"}, {"value": ("value", "float"), "event_id": ("event_id", "integer")})
 
 
-def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _compacted(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     e = _stored(spark, sf_dir)
     e.compact("ev", db="stored")
-    return e.sql("SELECT sum(value) AS s, count(event_id) AS n FROM ev GROUP BY event_type", db="stored", ordered=False)
+    return e.sql(f"SELECT sum(value) AS s, count(event_id) AS n FROM ev {where} GROUP BY event_type", db="stored", ordered=False)
 
 
 def _stored_select(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -121,29 +126,29 @@ def _stored_select(text: str) -> Callable[[SparkSession, str], DataFrame]:
 NEW_VALUE = "CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END"
 
 
-def _tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tombstones(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     e = _stored(spark, sf_dir)
     e.query("DELETE FROM ev WHERE time >= '2024-01-05T06:00:00Z' AND time < '2024-01-05T18:00:00Z'; DROP SERIES FROM ev WHERE event_type = 'click'", db="stored")
-    return e.sql("SELECT sum(value) AS s, count(value) AS n FROM ev GROUP BY event_type", db="stored", ordered=False)
+    return e.sql(f"SELECT sum(value) AS s, count(value) AS n FROM ev {where} GROUP BY event_type", db="stored", ordered=False)
 
 
-def _into(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _into(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     e = _stored(spark, sf_dir)
     e.query("SELECT mean(value) AS m, count(value) AS n INTO hourly FROM ev GROUP BY time(1h), event_type", db="stored")
-    return e.sql("SELECT m, n FROM hourly GROUP BY event_type", db="stored", ordered=False)
+    return e.sql(f"SELECT m, n FROM hourly {where} GROUP BY event_type", db="stored", ordered=False)
 
 
-def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _view(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     """A view with a backfill, fed by two later writes of which one repeats an instant's bucket."""
     e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
     e.query("CREATE DATABASE stored")
-    rows = e.sql(f"SELECT value, event_id FROM events WHERE {RANGE} GROUP BY event_type, user_id", ordered=False)
+    rows = e.sql("SELECT value, event_id FROM events GROUP BY event_type, user_id", ordered=False)
     part = lambda k: parse_lines(encode_rows(rows.where(f"event_id % 3 = {k}"), "ev"))
     e.write_points(part(0), db="stored")
     e.query("CREATE MATERIALIZED VIEW v ON stored WITH BACKFILL AS SELECT sum(value) AS s, count(value) AS n, min(value) AS lo, max(value) AS hi, first(value) AS f, last(value) AS l, mean(value) AS m INTO roll FROM ev GROUP BY time(6h), event_type", db="stored")
     e.write_points(part(1), db="stored")
     e.write_points(part(2), db="stored")
-    return e.sql("SELECT sum(s) AS s, sum(n) AS n, min(lo) AS lo, max(hi) AS hi, first(f) AS f, last(l) AS l, mean(m) AS m FROM roll GROUP BY time(6h), event_type fill(none)", db="stored", ordered=False)
+    return e.sql(f"SELECT sum(s) AS s, sum(n) AS n, min(lo) AS lo, max(hi) AS hi, first(f) AS f, last(l) AS l, mean(m) AS m FROM roll {where} GROUP BY time(6h), event_type fill(none)", db="stored", ordered=False)
 
 
 def _continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,24 +162,24 @@ def _continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT m FROM cq_out GROUP BY event_type", ordered=False)
 
 
-def _export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _export_import(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     e = _stored(spark, sf_dir)
     folder = scratch_folder(spark, "export")
     e.export("stored", folder)
     other = Engine(spark, scratch_folder(spark, "engine"), now=lambda: NOW_NS)
     other.import_(folder)
-    return other.sql("SELECT value, event_id FROM ev GROUP BY event_type", db="stored", ordered=False)
+    return other.sql(f"SELECT value, event_id FROM ev {where} GROUP BY event_type", db="stored", ordered=False)
 
 
-def _columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _columnar(spark: SparkSession, sf_dir: str, where: str = "WHERE time >= '2024-01-05T00:00:00Z' AND time < '2024-01-06T00:00:00Z'") -> DataFrame:
     """Hours of events as columnar batches of one field, flattened, written and read."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts >= '2024-01-05' and ts < '2024-01-06'")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     batches = ev.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.sort_array(F.collect_list(F.struct(ns.alias("t"), "value"))).alias("z"))
     batches = batches.select(F.lit("ev").alias("measurement"), F.create_map(F.lit("event_type"), F.col("event_type")).alias("tags"), F.lit("value").alias("field"), F.col("z.value").alias("values"), F.col("z.t").alias("timestamps"))
     e = Engine(spark, scratch_folder(spark, "engine"), now=lambda: NOW_NS)
     e.write_points(columnar_points(batches, NOW_NS))
-    return e.sql("SELECT sum(value) AS s, count(value) AS n FROM ev GROUP BY event_type", ordered=False)
+    return e.sql(f"SELECT sum(value) AS s, count(value) AS n FROM ev {where} GROUP BY event_type", ordered=False)
 
 
 # A MessagePack body of two points, {measurement m, tags {host a}, fields {v 1.5, ok true, name a}, timestamp 1 s} and the same of host b with 2.5 at 2 s.
@@ -201,27 +206,27 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT sum(s) AS s, sum(n) AS n FROM roll GROUP BY time(1d), event_type fill(none)", ordered=False)
 
 
-def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line protocol files of two days, read as a stream and written into an engine."""
+def _stream_ingest(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
+    """Line protocol files of all events, read as a stream and written into an engine."""
     e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
     folder = scratch_folder(spark, "lines")
-    rows = e.sql(f"SELECT value, event_id FROM events WHERE {RANGE} GROUP BY event_type, user_id", ordered=False)
+    rows = e.sql("SELECT value, event_id FROM events GROUP BY event_type, user_id", ordered=False)
     encode_rows(rows, "streamed").write.option("compression", "gzip").text(folder)
     e.ingest_stream(spark.readStream.text(folder), folder + "-state").awaitTermination()
-    return e.sql("SELECT sum(value) AS s, count(event_id) AS n FROM streamed GROUP BY event_type", ordered=False)
+    return e.sql(f"SELECT sum(value) AS s, count(event_id) AS n FROM streamed {where} GROUP BY event_type", ordered=False)
 
 
-def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retention(spark: SparkSession, sf_dir: str, where: str = "WHERE time < '2024-01-07T00:00:00Z'") -> DataFrame:
     e = _stored(spark, sf_dir)
     e.query("ALTER RETENTION POLICY autogen ON stored DURATION 36h", db="stored")
     e.enforce_retention(1_704_585_600_000_000_000)  # 2024-01-07: what is older than 2024-01-05 12:00 goes
-    return e.sql("SELECT count(value) AS n FROM ev GROUP BY event_type", db="stored", ordered=False)
+    return e.sql(f"SELECT count(value) AS n FROM ev {where} GROUP BY event_type", db="stored", ordered=False)
 
 
-def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _csv(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     from tidemark.result import to_csv
 
-    text = to_csv(engine(spark, sf_dir).query(f"SELECT mean(value) AS m FROM events WHERE {RANGE} GROUP BY time(12h), event_type", epoch="s"))
+    text = to_csv(engine(spark, sf_dir).query(f"SELECT mean(value) AS m FROM events {where} GROUP BY time(12h), event_type", epoch="s"))
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line int, text string")
 
 
@@ -236,11 +241,11 @@ def _after(statements: str, show: str, columns: str, **how: str) -> Callable[[Sp
     return run
 
 
-def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _json(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     """The JSON result, read back by Spark."""
     from tidemark.result import to_json
 
-    text = to_json(engine(spark, sf_dir).query(f"SELECT count(value) AS n FROM events WHERE {RANGE} GROUP BY time(1d), event_type", epoch="s"))
+    text = to_json(engine(spark, sf_dir).query(f"SELECT count(value) AS n FROM events {where} GROUP BY time(1d), event_type", epoch="s"))
     schema = "results array<struct<statement_id: int, series: array<struct<name: string, tags: map<string, string>, columns: array<string>, values: array<array<bigint>>>>>>"
     parsed = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", schema).alias("j")).select(F.explode("j.results").alias("r")).select(F.explode("r.series").alias("s"))
     return parsed.select(F.col("s.tags")["event_type"].alias("event_type"), F.explode("s.values").alias("v")).select("event_type", F.col("v")[0].alias("epoch"), F.col("v")[1].alias("n"))
@@ -377,8 +382,8 @@ QUERIES: dict[str, Query] = {
         """SELECT l_returnflag, sum(q) AS s FROM (SELECT l_shipdate, l_returnflag, l_linestatus, arg_max(l_quantity, o) AS q, arg_max(l_discount, o) AS d FROM (SELECT *, (l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) AS o FROM lineitem) GROUP BY ALL) WHERE d > 0.02 GROUP BY ALL""", ("s",),
     ),
     # storage
-    "stored_last_write_wins": Query(_stored_select("SELECT sum(value) AS s, count(event_id) AS n FROM ev GROUP BY event_type"), f"SELECT event_type, sum({NEW_VALUE}) AS s, count(event_id) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL", ("s",)),
-    "stored_tag_filter": Query(_stored_select("SELECT value FROM ev WHERE event_type = 'click' AND time < '2024-01-06T00:00:00Z'"), f"SELECT ts AS time, {NEW_VALUE} AS value FROM events WHERE {SQL_RANGE} AND event_type = 'click' AND ts < TIMESTAMP '2024-01-06'", ("value",)),
+    "stored_last_write_wins": Query(_stored_select(f"SELECT sum(value) AS s, count(event_id) AS n FROM ev {BOUND} GROUP BY event_type"), f"SELECT event_type, sum({NEW_VALUE}) AS s, count(event_id) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL", ("s",)),
+    "stored_tag_filter": Query(_stored_select("SELECT value FROM ev WHERE event_type = 'click' AND time >= '2024-01-05T00:00:00Z' AND time < '2024-01-06T00:00:00Z'"), f"SELECT ts AS time, {NEW_VALUE} AS value FROM events WHERE {SQL_RANGE} AND event_type = 'click' AND ts < TIMESTAMP '2024-01-06'", ("value",)),
     "stored_tombstones": Query(_tombstones, f"SELECT event_type, sum({NEW_VALUE}) AS s, count(*) AS n FROM events WHERE {SQL_RANGE} AND event_type <> 'click' AND NOT (ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-05 18:00:00') GROUP BY ALL", ("s",)),
     "select_into": Query(_into, f"SELECT {bucket('1 hour')} AS time, event_type, avg({NEW_VALUE}) AS m, CAST(count(*) AS DOUBLE) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL", ("m", "n")),
     "materialized_view": Query(
@@ -420,6 +425,37 @@ QUERIES: dict[str, Query] = {
     "csv_result": Query(_csv),
 }
 
+# the same over all events: what is read back, filled and shown isn't bounded either
+_ALL = {
+    "flagship": f'SELECT mean("value") AS "mean_value", count("value") AS "n" FROM "events" WHERE {WHOLE} GROUP BY time(1h), "event_type" fill(null)',
+    "distinct": "SELECT distinct(value) AS x FROM events GROUP BY event_type",
+    "distinct_keyword": "SELECT DISTINCT event_id FROM events",
+    "bucket_offset": "SELECT count(value) AS n FROM events GROUP BY time(1m, 30s) fill(none)",
+    "cumulative_sum_raw": "SELECT cumulative_sum(value) AS x FROM events GROUP BY event_type",
+    "select_star": "SELECT * FROM events",
+    **{name: QUERIES[name].how.replace(GAPPY, WHOLE) for name in ("fill_default", "fill_null", "fill_none", "fill_value", "fill_previous", "fill_linear", "fill_descending_limit")},
+    "stored_last_write_wins": _stored_select("SELECT sum(value) AS s, count(event_id) AS n FROM ev GROUP BY event_type"),
+    "stored_tag_filter": _stored_select("SELECT value FROM ev WHERE event_type = 'click'"),
+    **{name: partial(QUERIES[name].how, where="") for name in ("stored_tombstones", "select_into", "materialized_view", "stream_ingest", "export_import", "columnar_source", "compacted", "retention")},
+    **{name: partial(QUERIES[name].how, where=f"WHERE {WHOLE}") for name in ("json_result", "csv_result")},
+}
+
+
+def _unbounded(sql: str | None) -> str | None:
+    """The SQL of a bounded query, over all events."""
+    if sql is None:
+        return None
+    days = ("ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'", " AND ts < TIMESTAMP '2024-01-06'", " AND ts < TIMESTAMP '2024-01-07'", "value < 20", "event_id < 50")
+    for bound in (SQL_GAPPY, SQL_RANGE, *days):
+        sql = sql.replace(bound, "" if bound.startswith(" AND") else "true")
+    for ends, every in (("'2024-01-05', TIMESTAMP '2024-01-05 11:50:00'", "'2024-01-01', TIMESTAMP '2024-01-30 23:50:00'"), ("'2024-01-05', TIMESTAMP '2024-01-06 23:00:00'", "'2024-01-01', TIMESTAMP '2024-01-30 23:00:00'")):
+        sql = sql.replace(f"TIMESTAMP {ends}", f"TIMESTAMP {every}")
+    return sql
+
+
+# without SQL where a tie in the last rounded decimal makes rows differ; the tests compare those rows within that decimal
+QUERIES |= {f"{name}_whole": Query(how, None if name == "fill_linear" else _unbounded(QUERIES[name].sql), QUERIES[name].floats) for name, how in _ALL.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.run for name, q in QUERIES.items()}
