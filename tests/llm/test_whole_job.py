@@ -1,8 +1,12 @@
 """Cases that the operators once left out."""
 
+import random
+import string
 import textwrap
+import unicodedata
 
-from tidemark.llm import license_scan
+import corpus_pipeline
+from tidemark.llm import license_scan, quality, secret_scan
 
 
 def test_wrapped_and_repeated_notices_are_found(prose):
@@ -19,3 +23,11 @@ def test_wrapped_and_repeated_notices_are_found(prose):
     assert [x[2] for x in s.text(mit.replace("without", "w/o").replace("Software", "Program") + "\n" + mit)] == ["MIT"] * 2
     every = s.text("\n".join(license_scan.TEMPLATES.values()))
     assert [(x[2], x[4]) for x in every] == [(k, 0) for k in license_scan.TEMPLATES]
+
+
+def test_clean_texts_of_other_scripts_are_plain(spark):
+    hindi = "यह एक साफ़ वाक्य है जिसमें हिन्दी के सामान्य शब्द लिखे गए हैं। "
+    texts = [hindi * 5, "এটি বাংলা ভাষায় লেখা একটি পরিষ্কার বাক্য " * 5, "இது தமிழ் மொழியில் எழுதப்பட்ட வாக்கியம் " * 5, unicodedata.normalize("NFD", "déjà vu à l'été près de la forêt ") * 5, "In 2021 the 14 plants made 3,450.5 units, 12% of 28,000 " * 5]
+    df = quality.with_features(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    votes = {r["i"]: r["v"] for r in df.select("row.doc_id", quality.default_rules()[3].vote().alias("v")).toDF("i", "v").collect()}
+    assert votes == dict.fromkeys(range(len(texts)), quality.GOOD)

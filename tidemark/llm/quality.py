@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, cut
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
-#: Words of letters, with an apostrophe or hyphen within and one mark at each end at most.
-PLAIN = rf"""(?<![^{SPACE}])[("']?\p{{L}}++(?:['’-]\p{{L}}++)*+[.,;:!?)"']?(?![^{SPACE}])"""
+#: Words of letters and digits with their combining marks, a mark of words or numbers within and one mark at each end at most.
+PLAIN = rf"""(?<![^{SPACE}])[("']?[\p{{L}}\p{{M}}\p{{N}}]++(?:['’.,:‌‍-][\p{{L}}\p{{M}}\p{{N}}]++)*+[.,;:!?।)"'%]?(?![^{SPACE}])"""
 
 
 def text_features(text: Column) -> dict[str, Column]:
