@@ -29,9 +29,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them: exponential keys scaled by the weights of their quality labels."""
     rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", "text")
-    mixed = mixing.mix(rows, weights=queries.MIX_WEIGHTS, max_epochs=queries.MIX_EPOCHS).where("mix_copies > 0")
+    rows = mixing.quality_weights(rows, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    mixed = mixing.mix(rows, weight=F.col("mix_weight"), weights=queries.MIX_WEIGHTS, max_epochs=queries.MIX_EPOCHS).where("mix_copies > 0")
     return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("doc.*")
 
 

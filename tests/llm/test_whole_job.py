@@ -31,3 +31,11 @@ def test_clean_texts_of_other_scripts_are_plain(spark):
     df = quality.with_features(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     votes = {r["i"]: r["v"] for r in df.select("row.doc_id", quality.default_rules()[3].vote().alias("v")).toDF("i", "v").collect()}
     assert votes == dict.fromkeys(range(len(texts)), quality.GOOD)
+
+
+def test_pipeline_mixes_by_quality(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "one two three four five", "ab"[i % 2]) for i in range(800)], "doc_id long, text string, source string")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 800, 2)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    took = {r["doc_id"]: r["count"] for r in corpus_pipeline.mixing_stage(spark, docs, f"file://{tmp_path}").groupBy("doc_id").count().collect()}
+    good, bad = (sum(took.get(i, 0) for i in range(k, 800, 4)) for k in (0, 2))
+    assert good > 1.15 * bad
