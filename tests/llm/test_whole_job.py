@@ -33,6 +33,20 @@ def test_clean_texts_of_other_scripts_are_plain(spark):
     assert votes == dict.fromkeys(range(len(texts)), quality.GOOD)
 
 
+def test_random_tokens_within_paths_are_found(spark, prose):
+    r = random.Random(9)
+    token = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    keys = [token(n) for n in (24, 32, 40, 64) * 10]
+    shapes = ("https://example.com/hooks/v1-a/{}", "see files/my_app/{}/index", "https://example.com/reset/en/{}", "name_of-{}")
+    docs = [(i, f"{prose(i, 30)} {shapes[i % 4].format(k)} {prose(i + 1, 30)}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = dict(docs)
+    rows = {x["doc_id"]: [texts[x["doc_id"]][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == 3] for x in secret_scan.scan(df).collect()}
+    assert sum(any(k in s for s in rows[i]) for i, k in enumerate(keys)) >= 0.9 * len(keys)
+    left = {x["doc_id"]: x["text"] for x in secret_scan.redact(df).collect()}
+    assert sum(k not in left[i] for i, k in enumerate(keys)) >= 0.9 * len(keys)
+
+
 def test_pipeline_mixes_by_quality(spark, tmp_path):
     docs = spark.createDataFrame([(i, "one two three four five", "ab"[i % 2]) for i in range(800)], "doc_id long, text string, source string")
     spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 800, 2)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")

@@ -20,8 +20,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN = 6
 
-#: Candidates of the battery: maximal runs of the characters that encodings use.
+#: Candidates of the battery: maximal runs of the characters that encodings use, and their parts between / and the marks of base64url.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PARTS = (re.compile(r"[^/]{20,}"), re.compile(r"[^_-]{20,}"), re.compile(r"[^/_-]{20,}"))
 KINDS = ("assign", "access", "hex", "random")
 #: Letters from common to rare. Alphabets are in this order, so that cells of neighbours are far from even in prose.
 BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
@@ -112,16 +113,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, float]]:
-    """(start, end, length class, p) of every run with an inferred encoding."""
+    """(start, end, length class, p) of every run, and of every part of a run, with an inferred encoding."""
     out = []
     for m in CANDIDATE.finditer(text):
         body = m[0].rstrip("=")
-        if found := infer_encoding(body):
-            p = combined(battery(body, found[1]))
-            out.append((m.start(), m.end(), bisect_right(LENGTHS, len(body)) - 1, p))
+        parts = {(0, len(body))}
+        if any(c in body for c in "/_-"):
+            parts |= {x.span() for pattern in PARTS for x in pattern.finditer(body)}
+        for a, b in sorted(parts):
+            if found := infer_encoding(body[a:b]):
+                p = combined(battery(body[a:b], found[1]))
+                end = m.end() if b == len(body) else m.start() + b
+                out.append((m.start() + a, end, bisect_right(LENGTHS, b - a) - 1, p))
     return out
 
 
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The (start, end) that lie in no other."""
+    return [x for x in spans if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans)]
+
+
 def span_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -176,7 +187,8 @@ def scan(docs: DataFrame, *, q: float = 0.05, least_p: float = 0.01) -> DataFram
     To the base kinds (0 assign, 1 access, 2 hex) the method adds kind 3, random: candidate runs whose battery
     of randomness tests, each over the alphabet of their inferred encoding, doesn't reject randomness. Rejected
     are p-values up to Benjamini and Hochberg's threshold in their length class, and in any case those under
-    least_p, as every longer run of prose has them. Runs that a base span covers are not added. Offsets are
+    least_p, as every longer run of prose has them. The parts of a run between /, - and _ are candidates too; a part
+    within a run or longer part that passes is not added, nor is a run that a base span covers. Offsets are
     code points, ends exclusive. Null text counts as empty: no spans. Repeated rows give equal rows; a null
     doc_id stays null. The texts are read once and not shuffled; what is written to the shared folder are
     the spans and candidates, a small part of the texts.
@@ -192,7 +204,9 @@ def with_spans(scanned: DataFrame, low: dict[int, float], least_p: float) -> Dat
         inside = F.exists("base", lambda s: (s["start"] <= x["start"]) & (x["end"] <= s["end"]))
         return (x["p"] > F.get(limits, x["band"])) & ~inside
 
-    added = F.transform(F.filter("cands", passes), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    scanned = scanned.withColumn("cands", F.filter("cands", passes))
+    added = F.transform(F.filter("cands", lambda x: ~F.exists("cands", lambda y: within(x, y))), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return scanned.withColumn("spans", F.sort_array(F.concat("base", added))).drop("base", "cands")
 
 
@@ -213,7 +227,7 @@ def _redact(low: dict[int, float], least_p: float):
             for i, t in enumerate(texts):
                 if t:
                     spans = base_spans(t)
-                    spans += [(a, 3, b) for a, b, band, p in candidates(t) if p > limits[band]]
+                    spans += [(a, 3, b) for a, b in outermost([(a, b) for a, b, band, p in candidates(t) if p > limits[band]])]
                     if spans:
                         texts[i] = redacted(t, sorted(spans))
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
