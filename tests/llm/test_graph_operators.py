@@ -257,6 +257,7 @@ def test_archives_by_brute_force(spark, sf_dir):
         last = r["page_id"] is None or best[body.decode()] == r["page_id"]
         assert (r["record_type"], r["refers_to"]) == (("response", None) if last else ("revisit", best[body.decode()]))
         assert r["payload"] == (body if last else None)
+    assert all(r["sound"] == (True if r["payload"] is not None else None) for r in records)
     again = warc.read_folder(spark, folder, split_bytes=7777).collect()
     key = lambda rs: Counter((r["page_id"], r["record_type"], r["at"]) for r in rs)
     assert key(again) == key(records)
@@ -281,6 +282,40 @@ def test_archive_ranges_own_their_records_and_skip_what_is_not_one():
         assert [f[0] for f in found] == starts and [warc.page_of(f[1]["warc-record-id"]) for f in found] == list(range(60))
 
 
+def test_ranges_run_in_tasks_of_their_own(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    folder = new_folder(spark, "warc-test")
+    files = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(2), folder)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    ranges = sum(-(-r["bytes"] // 2000) for r in files.collect())
+    ran = warc.read(files, folder, split_bytes=2000).withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert ranges > 8 and ran > ranges / 2
+    assert warc.read(files, folder, split_bytes=2000, most_tasks=3).withColumn("task", F.spark_partition_id()).select("task").distinct().count() <= 3
+
+
+def test_payloads_meet_their_group_with_and_without_a_broadcast(spark, sf_dir):
+    huge = "long " * 700_000
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(10_000 + i, "u", "common") for i in range(200)] + [(20_000, "v", huge), (20_001, "w", huge), (None, None, None), (20_002, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    few, beyond = (Counter(tuple(r) for r in warc.round_trip(df, broadcast_groups=n).drop("path", "at").collect()) for n in (200_000, 0))
+    assert few == beyond and sum(few.values()) == len(rows)
+    assert sum(r[2] == "revisit" and r[5] == 10_199 for r in few) == 199 and any(r[0] == 20_000 and r[5] == 20_001 and r[4] == len(huge) for r in few)
+    plan = warc.plan_records(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_an_altered_payload_is_told(tmp_path):
+    raw = warc.encode_record(1, "http://x/", b"payload", warc.digest_of(b"other"), None, "2024-01-01T00:00:00Z")
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"path": [str(tmp_path / "a.warc.gz")], "folder": [f"file://{tmp_path}"], "bytes": [len(raw)], "start": [0], "stop": [len(raw)]})
+    (row,) = next(warc._reader(iter([batch]))).to_pylist()
+    assert row["sound"] is False and row["payload_digest"] == warc.digest_of(b"payload") and row["payload_bytes"] == 7
+
+
 def test_archives_odd(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none).count() == 0

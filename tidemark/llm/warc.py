@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, new_folder
+from tidemark.llm.common import cut, delete_folder, new_folder
 
 # Fixed values of the formats: a gzip member's first bytes, line ends, media types, and the revisit profile.
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORDS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary, path string, at bigint"
+RECORDS = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary, path string, at bigint, sound boolean"
 WRITTEN = "path string, bytes bigint, records bigint"
 #: Bytes read at once.
 BLOCK = 1 << 20
@@ -110,17 +110,20 @@ def base32(column: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", letters)
 
 
-def plan_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, broadcast_groups: int = 200_000) -> DataFrame:
     """(page_id, url, payload, payload_digest, refers_to) of pages.
 
     Of rows with equal payloads of at least least_bytes, those with the largest page_id are responses and the
     others revisits of it. Null html is an empty payload. Rows with a null page_id are always responses that
     nothing refers to; rows that repeat the largest page_id with the same payload are responses too.
-    Only digests and ids are grouped; of the payloads' groups those with one row need no join.
+
+    Only digests and ids are grouped. The groups of several rows, one row each, go to the payloads by a broadcast if there
+    are at most broadcast_groups of them (some 100 bytes each), so no payload is shuffled. Beyond that payloads meet
+    their group by its digest, dealt by a salt of the page_id, so that the copies of one common page are not one task's.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", base32(F.sha1("payload")))
-    many = (
+    many = cut(
         rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy(F.col("payload_digest").alias("d"), F.octet_length("payload").alias("n"))
         .agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
@@ -128,7 +131,12 @@ def plan_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         .drop("first")
     )
     same = (F.col("payload_digest") == F.col("d")) & (F.octet_length("payload") == F.col("n"))
-    out = rows.join(many, same, "left")
+    if many.count() <= broadcast_groups:
+        out = rows.join(F.broadcast(many), same, "left")
+    else:
+        salts = 32
+        salted = many.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(salts)), F.lit(0)).cast("int")).join(salted, same & (F.col("salt") == F.col("m_salt")), "left")
     return out.select("page_id", "url", "payload", "payload_digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
 
@@ -204,7 +212,7 @@ def records_in(source, size: int, start: int, stop: int) -> Iterator[tuple[int,
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in RECORDS.split(", ")]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -217,10 +225,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at, fields, block in records_in(source, size, start, stop):
                     http, _, payload = block.partition(CRLF + CRLF)
                     length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
-                    rows.append(
-                        (page_of(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                         int(length[1]) if length else len(payload), page_of(fields.get("warc-refers-to")), payload if fields["warc-type"] == "response" else None, path, at)
-                    )
+                    said = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    n, digest, whole = int(length[1]) if length else None, said, fields["warc-type"] == "response"
+                    if whole:  # what the payload is, not what the headers say
+                        n, digest, sound = len(payload), digest_of(payload), n in (None, len(payload)) and said in (None, digest_of(payload))
+                    rows.append((page_of(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], digest, n, page_of(fields.get("warc-refers-to")), payload if whole else None, path, at, sound if whole else None))
                     held += len(block)
                     if held > 8 << 20 or len(rows) >= 5000:
                         yield batch(rows)
@@ -229,16 +238,19 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
 
 
-def read(files: DataFrame, folder: str, split_bytes: int = 16 << 20) -> DataFrame:
+def read(files: DataFrame, folder: str, split_bytes: int = 16 << 20, most_tasks: int = 50_000) -> DataFrame:
     """The records of archives: files has (path, bytes); every file is read in byte ranges of split_bytes.
 
-    A range owns the records that start in it, so each record is read once however files are cut. Columns:
-    see RECORDS; the payload of a revisit is null, its payload_bytes and digest are those of what it revisits.
-    Without files the result is empty.
+    A range owns the records that start in it, so each record is read once however files are cut. Ranges are dealt
+    evenly to as many tasks as there are ranges, at most most_tasks: a given number of partitions is not merged, as small as the
+    rows that name the ranges are. Columns: see RECORDS; payload_bytes and payload_digest of a response are those of the
+    payload as read, and sound tells whether the headers agree with them; the payload of a revisit is null, its
+    payload_bytes and digest are those of what it revisits, by its headers. Without files the result is empty.
     """
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.select("path", "bytes", F.lit(folder).alias("folder"), F.explode(starts).alias("start")).withColumn("stop", F.col("start") + split_bytes)
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(_reader, RECORDS)
+    return ranges.repartition(max(1, min(int(n or 1), most_tasks))).mapInArrow(_reader, RECORDS)
 
 
 def read_folder(spark: SparkSession, folder: str, split_bytes: int = 16 << 20) -> DataFrame:
@@ -249,7 +261,15 @@ def read_folder(spark: SparkSession, folder: str, split_bytes: int = 16 << 20) -
     return read(spark.createDataFrame(found, schema), folder, split_bytes)
 
 
-def round_trip(pages: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
-    """Writes pages to a new folder in the shared one and reads the archives back."""
+def round_trip(pages: DataFrame, split_bytes: int = 16 << 20, **how: object) -> DataFrame:
+    """What reading says of pages written to archives: the columns of read() but for the payloads, a row for each row of pages.
+
+    The archives are written to a folder of their own in the shared one, read back record by record, and deleted when what was
+    read is in the shared folder. Null html is an empty payload; null and repeated page_ids, repeated rows and urls that
+    are null stay as they are; payloads of any length are read whole, a record at a time; other columns of pages are left
+    out; an empty table gives an empty table.
+    """
     folder = new_folder(pages.sparkSession, "warc")
-    return read(write(pages, folder), folder, split_bytes)
+    records = cut(read(write(pages, folder, **how), folder, split_bytes).drop("payload"))
+    delete_folder(pages.sparkSession, folder)
+    return records
