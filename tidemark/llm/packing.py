@@ -6,7 +6,7 @@ import array
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-ASSIGNED = "item bigint, fill bigint, bin bigint, at bigint, bin_fill bigint, open boolean"
+ASSIGNED = "item bigint, fill bigint, bin bigint, at bigint, bin_fill bigint"
 #: Bits of a bin's number: round, then partition, then place within the partition.
 ROUND_AT, PART_AT = 56, 28
 
 
-class WordIds(dict):
+class WordIds:
     """ids, as little-endian uint32 bytes, of the parts of a text between spaces and line ends.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its parts in
@@ -34,9 +34,9 @@ class WordIds(dict):
     #: Marks that are a token piece of their own after a word.
     MARKS = frozenset(".,;:!?")
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.held: dict[str, bytes] = {}
         import regex
         from tokenizers import Tokenizer
 
@@ -46,9 +46,11 @@ class WordIds(dict):
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(keep))}
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+    def ids_of(self, part: str) -> bytes:
+        if (out := self.held.get(part)) is not None:
+            return out
+        if len(self.held) >= self.most:
+            self.held.clear()
         if part.isascii() and part.isalpha():
             ids = array.array("I", [t.id for t in self.tokens(part.lower())])
         elif self.PLAIN.fullmatch(part):
@@ -60,11 +62,15 @@ class WordIds(dict):
             ids = array.array("I", self.whole.encode(part, add_special_tokens=False).ids)
         out = ids.tobytes()
         if len(part) <= 40:
-            self[part] = out
+            self.held[part] = out
         return out
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        parts = text.replace("\n", " ").split(" ")
+        out = list(map(self.held.get, parts))  # a plain look-up for all, then the few that are not held
+        if None in out:
+            out = [self.ids_of(p) if ids is None else ids for p, ids in zip(parts, out, strict=True)]
+        return b"".join(out)
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -127,42 +133,44 @@ def best_fit(lengths: list[int], limit: int, fills: list[int] | None = None) ->
     return bins, at, filled
 
 
-def _pack(round_no: int, limit: int, slack: int, most_open: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(round_no: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int]] = []
         for b in batches:
             rows += zip(b.column("fill").to_pylist(), b.column("item").to_pylist(), strict=True)
         rows.sort(key=lambda r: (-r[0], r[1]))  # decreasing, whatever order the rows came in
         bins, at, fills = best_fit([r[0] for r in rows], limit)
-        # what can't take even the shortest item of an open bin is closed; so are the fullest beyond most_open
-        shortest = min(fills, default=limit)
-        open_bins = sorted((f, i) for i, f in enumerate(fills) if f < limit - slack and f + shortest <= limit)[:most_open]
-        is_open = [False] * len(fills)
-        for _, i in open_bins:
-            is_open[i] = True
         base = (round_no << ROUND_AT) | (TaskContext.get().partitionId() << PART_AT)
         step = 50_000
         for s in range(0, len(rows), step):
             part = range(s, min(s + step, len(rows)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rows[i][1] for i in part], pa.int64()), pa.array([rows[i][0] for i in part], pa.int64()), pa.array([base | bins[i] for i in part], pa.int64()),
-                    pa.array([at[i] for i in part], pa.int64()), pa.array([fills[bins[i]] for i in part], pa.int64()), pa.array([is_open[bins[i]] for i in part], pa.bool_()),
-                ],
-                names=["item", "fill", "bin", "at", "bin_fill", "open"],
-            )
+            columns = ([rows[i][1] for i in part], [rows[i][0] for i in part], [base | bins[i] for i in part], [at[i] for i in part], [fills[bins[i]] for i in part])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "fill", "bin", "at", "bin_fill"])
 
     return run
 
 
-def pack(items: DataFrame, *, limit: int = 4096, per_task: int = 100_000, fan_in: int = 8, slack: int = 8, most_open: int = 50_000) -> DataFrame:
+def still_open(fills: Mapping[int, int], limit: int, slack: int) -> tuple[int, int]:
+    """(largest fill of a bin that goes on, number of these) of bins counted by fill.
+
+    Bins with room for no more than slack are nearly full and done. So is a bin that can't take the emptiest one of all
+    partitions, as items only grow: nothing that could still be merged is closed.
+    """
+    under = [f for f in fills if f < limit - slack]
+    top = min(limit - slack - 1, limit - min(under, default=limit))
+    n = sum(fills[f] for f in under if f <= top)
+    return (top, n) if n > 1 else (0, 0)
+
+
+def pack(items: DataFrame, *, limit: int = 4096, per_task: int = 100_000, slack: int = 8) -> DataFrame:
     """Packs items (item: a unique number, fill: 1 to limit) into bins of at most `limit`: (item, sequence_id, offset).
 
     Hierarchical: items fall by a hash of their number into partitions of about per_task, each packed best
-    fit in order of decreasing length. Bins with room for no more than `slack`, or for nothing that is still
-    open, are done; the others become items of the next round, in which fan_in partitions merge, until one is
-    left. At most most_open of a partition's bins go on to the next round, the emptiest first: the others
-    are done as they are, so no task's input grows with the corpus. Every round is written to the shared
+    fit in order of decreasing length. Nearly full bins are done (see still_open()); the others become items of the next
+    round, again about per_task to a partition, so partitions get fewer as bins do and no task's input grows with the corpus. It ends
+    when one partition holds all that is open, or when a round has merged less than one bin a partition: after best fit no two bins of
+    a partition fit together, so at most one of each is up to half full, and every further merge would need
+    such a one. What is lost against packing in one place is thus at most about one bin in per_task items. Every round is written to the shared
     folder, so that a lost executor can't number bins anew. The same items give the same packing.
     """
     n = items.count()
@@ -170,13 +178,18 @@ def pack(items: DataFrame, *, limit: int = 4096, per_task: int = 100_000, fan_in
     steps: list[DataFrame] = []
     current = items.select("item", "fill")
     while True:
-        dealt = current.repartition(parts, F.xxhash64("item")) if parts > 1 else current.coalesce(1)
-        done = cut(dealt.mapInArrow(_pack(len(steps) + 1, limit, slack, most_open), ASSIGNED))
+        dealt = current.repartition(parts, F.xxhash64("item", F.lit(len(steps)))) if parts > 1 else current.coalesce(1)
+        done = cut(dealt.mapInArrow(_pack(len(steps) + 1, limit), ASSIGNED))
         steps.append(done.select("item", "bin", "at"))
         if parts == 1:
             break
-        current = done.where("open").groupBy(F.col("bin").alias("item")).agg(F.max("bin_fill").alias("fill"))
-        parts = -(-parts // fan_in)
+        bins = done.where("at = 0").select(F.col("bin").alias("item"), F.col("bin_fill").alias("fill"))
+        # at most `limit` numbers
+        fills = {r["fill"]: r["count"] for r in bins.groupBy("fill").count().collect()}
+        top, n_open = still_open(fills, limit, slack)
+        if n_open == 0 or len(steps) > 1 and n - sum(fills.values()) < parts:
+            break
+        current, n, parts = bins.where(F.col("fill") <= top), n_open, -(-n_open // per_task)
     # where bins ended up, from the last round back: only the first step has a row for each item
     placed = steps.pop()
     while steps:
