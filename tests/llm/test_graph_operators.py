@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -200,20 +201,54 @@ def check_vectors(spark, rows, **how):
     assert Counter(r["vec_id"] for r in got) == Counter(i for i, _ in rows)
     fine = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     unit = [(i, v / np.linalg.norm(v)) for i, v in fine]
-    pairs = [(a, b) for n, (a, x) in enumerate(unit) for b, y in unit[n + 1 :] if len(x) == len(y) and x @ y >= 0.95 + (1e-12 if len(x) > 1 else -1e-12)]
+    pairs = [(a, b) for n, (a, x) in enumerate(unit) for b, y in unit[n + 1 :] if len(x) == len(y) and float(x @ y) >= 0.95 + (1e-12 if len(x) > 1 else -1e-12)]
     links = Counter(i for p in pairs for i in p)
     return got, links, union({i for i, _ in rows if i is not None}, pairs), len(pairs)
 
 
-def test_vectors_by_brute_force(spark):
+@pytest.mark.parametrize("how", [{}, {"block_rows": 16}, {"block_rows": 16, "broadcast_buckets": 0, "bucket": 8}])
+def test_vectors_by_brute_force(spark, how):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 16))
     rows = [(i, [float(x) for x in np.float32(base[i % 40] + rng.standard_normal(16) * rng.choice([0, 0.05, 0.2, 0.3]))]) for i in range(600)]
-    got, links, want, n = check_vectors(spark, rows, block_rows=16)
+    got, links, want, n = check_vectors(spark, rows, **how)
     assert n > 1000 and sum(r["n_links"] for r in got) >= 0.97 * 2 * n and all(r["n_links"] <= links[r["vec_id"]] for r in got)
     assert sum(r["component_id"] == want[r["vec_id"]] for r in got) >= 0.97 * len(got) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_recall_just_above_the_threshold(spark):
+    """Pairs at cosines from 0.95 to 0.97, none nearer, among vectors that are far from right angles."""
+    rng = np.random.default_rng(5)
+    rows, unit = [], lambda v: v / np.linalg.norm(v)
+    for i in range(1500):
+        a = unit(rng.standard_normal(32) + 0.7)
+        c = rng.uniform(0.951, 0.97)
+        side = rng.standard_normal(32)
+        b = c * a + math.sqrt(1 - c * c) * unit(side - side @ a * a)
+        rows += [(2 * i, [float(x) for x in a]), (2 * i + 1, [float(x) for x in b])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = np.array([r[1] for r in rows])
+    want = int(((v @ v.T) >= 0.95).sum()) - len(rows)
+    got = embedding_dedup.link_vectors(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * want <= got <= want
+
+
+def test_a_large_class_and_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "HOT_ROWS", 50)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(8)
+    rows = [(i, [1.0] * 8) for i in range(100, 300)] + [(i, [float(x) for x in base + rng.standard_normal(8) * 0.01]) for i in range(300, 420)] + [(500 + i, [float(x) for x in rng.standard_normal(8)]) for i in range(30)]
+    got, links, want, _ = check_vectors(spark, rows, block_rows=20)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], want[i]) for i, _ in rows}
+
+
+def test_plan_follows_the_distances():
+    far = embedding_dedup.plan(10**6, 0.95, 0.99, 2.0)
+    near = embedding_dedup.plan(10**6, 0.95, 0.99, 2.0, distances=np.full(1000, 0.8))
+    assert near[0] > far[0] and near[1] > far[1]
+    assert embedding_dedup.plan(0, 0.95, 0.99, 2.0) == embedding_dedup.plan(10, 0.95, 0.99, 2.0) and embedding_dedup.plan(10, 0.95, 0.99, 2.0)[0] == 1
+
+
 def test_vectors_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (11, [0.0, 1.0]),
