@@ -124,10 +124,10 @@ def brute_join(docs, width, percent):
     return sets, union(ids, pairs), pairs
 
 
-def check_join(spark, docs, width=5, percent=80):
+def check_join(spark, docs, width=5, percent=80, **how):
     sets, want, pairs = brute_join(docs, width, percent)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    rows = ngram_join.link_documents(df, width=width, percent=percent, broadcast_ids=len(docs) % 2 * 10_000).collect()
+    rows = ngram_join.link_documents(df, width=width, percent=percent, broadcast_ids=len(docs) % 2 * 10_000, **how).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in docs)
     for r in rows:
         assert r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]]) and r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
@@ -157,6 +157,15 @@ def test_join_by_brute_force(spark, seed):
     assert check_join(spark, near_copies(seed, 150 + seed))
 
 
+@pytest.mark.parametrize("how", [{"list_rows": 4, "block_rows": 5, "chunk_pairs": 3}, {"heavy_pairs": 3, "block_rows": 7}, {"heavy_pairs": 3, "most_heavy": 2, "list_rows": 6}])
+def test_join_in_sublists_blocks_and_with_heavy_tokens(spark, how):
+    """Many documents that share a passage and hardly link, beside near copies."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(25)]
+    docs = near_copies(4, 90) + [(1000 + i, " ".join(passage + [f"q{r.randrange(500)}" for _ in range(r.randint(3, 12))])) for i in range(60)]
+    assert check_join(spark, docs, **how)
+
+
 def test_join_of_a_star_whose_points_do_not_link(spark):
     base = [f"b{i}" for i in range(200)]
     docs = [(0, " ".join(base))]
