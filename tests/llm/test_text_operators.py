@@ -173,15 +173,45 @@ def test_random_strings_are_found_and_prose_is_not(spark, prose):
     assert found >= 0.9 * len(keys) and not any(s["kind"] == 3 for i in range(4) for s in rows[100 + i])
 
 
-def test_battery_p_values_are_uniform_on_random_strings():
+def test_p_values_are_uniform_on_random_strings():
     r = random.Random(1)
-    for alphabet in ("0123456789abcdef", secret_scan.ALNUM + "+/"):
-        ps = [secret_scan.battery("".join(r.choice(alphabet) for _ in range(60)), alphabet) for _ in range(600)]
-        for k in range(3):
-            assert sum(p[k] < 0.05 for p in ps) / 600 < 0.1
+    for name, n in (("hex", 20), ("base36", 24), ("base62", 32), ("base64", 90)):
+        ps = [f[1] for f in (secret_scan.randomness("".join(r.choices(secret_scan.ENCODINGS[name], k=n))) for _ in range(800)) if f]
+        for p in (0.02, 0.1, 0.5, 0.9):
+            assert sum(x <= p for x in ps) / len(ps) == pytest.approx(p, abs=0.05)
     assert secret_scan.combined((1e-9, 0.5, 0.5)) < 1e-6
 
 
+#: Names, slugs and paths that look somewhat random.
+LOOKALIKES = ("user-profile-picture-large-version-2-final", "Lorem-Ipsum-Dolor-Sit-Amet-Consectetur-1", "https/en/wiki/HistoryOfTheWorld/Chapter12/Section3", "getTheNumberOfAllOpenFilesInTheFolder2",
+              "ABOUT-this-very-long-hyphenated-name-of-a-page", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1111111111111", "JavaScriptObjectNotation1", "2024-01-05T00-00-00Z", "content/uploads/2019/07/IMG_20190703", "org/apache/hadoop/mapreduce/Job2")
+
+
+def test_precision_and_recall_on_planted_secrets(spark, prose):
+    """Random strings of all encodings and lengths from 16 on, beside as many names, slugs and paths made of words."""
+    r = random.Random(12)
+    kinds = list(secret_scan.ENCODINGS)[3:]
+    secrets = ["".join(r.choices(secret_scan.ENCODINGS[kinds[i % len(kinds)]], k=r.choice([16, 20, 24, 32, 40, 64]))) for i in range(400)]
+    word = lambda: prose(r.randrange(10**6), 1).rstrip(".")
+    made = lambda: r.choice(["-", "_", "/", ""]).join(r.choice([str.title, str, str.upper])(word()) for _ in range(r.randint(3, 6))) + str(r.choice([1, 2, 2024, 77]))
+    names = [*LOOKALIKES, *(made() for _ in range(390))]
+    docs = [(i, f"{prose(i, 9)} {x} {prose(i + 1, 9)}") for i, x in enumerate([*secrets, *names])]
+    rows = {x["doc_id"]: [docs[x["doc_id"]][1][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == 3] for x in secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hits = sum(any(len(y) > 0.6 * len(s) and y in s for y in rows[i]) for i, s in enumerate(secrets))
+    false = sum(bool(rows[len(secrets) + i]) for i in range(len(names)))
+    print(f"recall {hits / len(secrets):.3f}, precision {hits / (hits + false):.3f}")
+    assert hits >= 0.95 * len(secrets) and false <= 0.1 * (hits + false)
+    assert [rows[len(secrets) + i] for i in range(len(LOOKALIKES)) if rows[len(secrets) + i]] == []
+
+
+def test_thresholds_rise_where_prose_passes():
+    cell = lambda p: int(-math.log10(p) * 20)
+    clean = Counter(cell((i + 0.5) / 1000) for i in range(1000))
+    low = secret_scan._threshold(clean, 0.05, 0.01, 20)
+    mixed = clean + Counter({cell(0.05): 300})
+    assert low < 0.012 and 0.05 < secret_scan._threshold(mixed, 0.05, 0.01, 20) < 0.5
+
+
 def test_secret_odd_and_redaction(spark, odd_docs, no_docs):
     rows = secret_scan.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and secret_scan.scan(no_docs).count() == 0

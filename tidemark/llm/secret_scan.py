@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,36 +23,32 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MIN = 6
 
 #: Candidates of the battery: maximal runs of the characters that encodings use, and their parts between / and the marks of base64url.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-PARTS = (re.compile(r"[^/]{20,}"), re.compile(r"[^_-]{20,}"), re.compile(r"[^/_-]{20,}"))
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PARTS = (re.compile(r"[^/]{16,}"), re.compile(r"[^_-]{16,}"), re.compile(r"[^/_-]{16,}"))
 KINDS = ("assign", "access", "hex", "random")
 #: Letters from common to rare. Alphabets are in this order, so that cells of neighbours are far from even in prose.
 BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
 ALNUM = "".join(c + c.upper() for c in BY_FREQUENCY) + "0123456789"
-ENCODINGS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", BY_FREQUENCY.upper() + "234567"))
+ENCODINGS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": BY_FREQUENCY.upper() + "234567", "base36": BY_FREQUENCY + "0123456789", "BASE36": BY_FREQUENCY.upper() + "0123456789",
+    "base62": ALNUM, "base64": ALNUM + "+/", "base64url": ALNUM + "-_",
+}
+_SETS = [(name, frozenset(alphabet)) for name, alphabet in ENCODINGS.items()]
 #: Lower ends of the length classes within which false discoveries are controlled.
-LENGTHS = (20, 28, 40, 64, 128)
+LENGTHS = (16, 20, 28, 40, 64, 128)
+#: Random strings by which the battery's p-values are calibrated for an encoding and length class.
+SIMULATED = 400
 
 
-def infer_encoding(s: str) -> tuple[str, str] | None:
-    """Name and alphabet of the narrowest encoding that fits, or None.
+def infer_encoding(s: str) -> str | None:
+    """Name of the narrowest encoding that fits, or None.
 
     Letters of one case alone, or digits alone, could be prose or a number: no encoding is inferred
     from fewer than two kinds of characters (digits, lower case, upper case).
     """
-    kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-    if kinds < 2:
-        return None
     have = set(s)
-    for name, alphabet in ENCODINGS:
-        if have <= set(alphabet):
-            return name, alphabet
-    rest = have - set(ALNUM)
-    if not rest:
-        return "base62", ALNUM
-    if rest <= set("+/"):
-        return "base64", ALNUM + "+/"
-    return ("base64url", ALNUM + "-_") if rest <= set("-_") else None
+    kinds = (not have.isdisjoint("0123456789")) + (not have.isdisjoint(BY_FREQUENCY)) + (not have.isdisjoint(BY_FREQUENCY.upper()))
+    return next((name for name, alphabet in _SETS if have <= alphabet), None) if kinds >= 2 else None
 
 
 def _normal_tail(z: float) -> float:
@@ -63,10 +61,16 @@ def _chi2_tail(x: float, df: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(s: str, alphabet: str) -> tuple[float, float, float]:
-    """p-values, if s is uniformly random over the alphabet: letter frequencies, runs about the middle, serial correlation.
+def _even(counts: list[int], room: list[int], n: int, k: int) -> float:
+    """Chi-squared of counts in cells that hold so many of k symbols."""
+    return _chi2_tail(sum((c - n * r / k) ** 2 / (n * r / k) for c, r in zip(counts, room, strict=True)), len(room) - 1)
+
+
+def battery(s: str, alphabet: str) -> tuple[float, float, float, float, float]:
+    """p-values, if s is uniformly random over the alphabet: letter frequencies, kinds of characters, runs about the middle, runs of one kind, serial correlation.
 
-    Frequencies are compared in as many cells of neighbouring symbols as have an expected count of 5, at least 2.
+    Frequencies are compared in as many cells of neighbouring symbols as have an expected count of 5, at least 2; kinds
+    are digits, lower case, upper case and marks, of which words make long runs.
     """
     at = {c: i for i, c in enumerate(alphabet)}
     x = [at[c] for c in s]
@@ -77,7 +81,16 @@ def battery(s: str, alphabet: str) -> tuple[float, float, float]:
         room[i * cells // k] += 1
     for v in x:
         counts[v * cells // k] += 1
-    chi = sum((c - n * r / k) ** 2 / (n * r / k) for c, r in zip(counts, room, strict=True))
+    kind = lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+    of, had = [0] * 4, [0] * 4
+    for c in alphabet:
+        of[kind(c)] += 1
+    kinds = [kind(c) for c in s]
+    for c in kinds:
+        had[c] += 1
+    same, expected = sum(a == b for a, b in zip(kinds, kinds[1:])), sum(o * o for o in of) / (k * k)
+    p_same = _normal_tail((same - (n - 1) * expected) / math.sqrt((n - 1) * expected * (1 - expected)))
+    p_kinds = _even([h for h, o in zip(had, of, strict=True) if o], [o for o in of if o], n, k)
     high = [v >= k / 2 for v in x]
     up = sum(high)
     down = n - up
@@ -91,10 +104,10 @@ def battery(s: str, alphabet: str) -> tuple[float, float, float]:
     m = sum(x) / n
     var = sum((v - m) ** 2 for v in x)
     serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var if var else 1.0
-    return _chi2_tail(chi, cells - 1), p_runs, _normal_tail((serial + 1 / n) * math.sqrt(n))
+    return _even(counts, room, n, k), p_kinds, p_runs, p_same, _normal_tail((serial + 1 / n) * math.sqrt(n))
 
 
-def combined(ps: tuple[float, ...]) -> float:
+def combined(ps: Sequence[float]) -> float:
     """Fisher's combination: chance of such a product of p-values."""
     half = -sum(math.log(max(p, 1e-300)) for p in ps)
     term = total = 1.0
@@ -104,6 +117,30 @@ def combined(ps: tuple[float, ...]) -> float:
     return math.exp(-half) * total
 
 
+@functools.cache
+def _simulated(encoding: str, band: int) -> list[float]:
+    """Combined p-values, in order, of random strings of an encoding and length class, always the same ones."""
+    r, alphabet = random.Random(f"{encoding}:{band}"), ENCODINGS[encoding]
+    longest = LENGTHS[band + 1] - 1 if band + 1 < len(LENGTHS) else 2 * LENGTHS[band]
+    return sorted(combined(battery("".join(r.choices(alphabet, k=r.randint(LENGTHS[band], longest))), alphabet)) for _ in range(SIMULATED))
+
+
+@functools.lru_cache(1 << 14)
+def randomness(s: str) -> tuple[int, float] | None:
+    """(length class, p) of a string with an inferred encoding, else None.
+
+    The tests depend on each other and are discrete on short strings, so their combined p is taken by its
+    rank among those of random strings: of random strings a share of p has at most p.
+    """
+    encoding = infer_encoding(s)
+    if encoding is None:
+        return None
+    band = bisect_right(LENGTHS, len(s)) - 1
+    p = combined(battery(s, ENCODINGS[encoding]))
+    under = bisect_right(_simulated(encoding, band), p)
+    return band, (under + 0.5) / (SIMULATED + 1) if under else min(p, 0.5 / (SIMULATED + 1))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, in order."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_MIN]
@@ -121,10 +158,8 @@ def candidates(text: str) -> list[tuple[int, int, int, float]]:
         if any(c in body for c in "/_-"):
             parts |= {x.span() for pattern in PARTS for x in pattern.finditer(body)}
         for a, b in sorted(parts):
-            if found := infer_encoding(body[a:b]):
-                p = combined(battery(body[a:b], found[1]))
-                end = m.end() if b == len(body) else m.start() + b
-                out.append((m.start() + a, end, bisect_right(LENGTHS, b - a) - 1, p))
+            if found := randomness(body[a:b]):
+                out.append((m.start() + a, m.end() if b == len(body) else m.start() + b, *found))
     return out
 
 
@@ -157,52 +192,61 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "cands"])
 
 
-def not_random_below(scanned: DataFrame, q: float = 0.05, steps: int = 20) -> dict[int, float]:
-    """For each length class the p-value up to which candidates are called not random.
+def thresholds(scanned: DataFrame, q: float = 0.05, least_p: float = 0.01, steps: int = 20) -> list[float]:
+    """For each length class the p-value from which candidates are called random.
 
-    Benjamini and Hochberg's step-up procedure at rate q within each length class, over all candidates of the
-    corpus: of those that it rejects, a share of at most q are random strings lost. It needs the number of
-    p-values under each threshold only, taken from a histogram over (length class, steps an order of
-    magnitude), a few thousand cells at any size of corpus.
+    False discoveries are strings that aren't random and yet pass. Within a length class p is uniform over random strings,
+    and prose hardly ever has a p above a half; so the candidates above a half, doubled, tell how many random ones there
+    are, and with them how many of those above any p are random. The threshold is the least p, from least_p on, at which
+    what is above it and not random by that estimate is a share of at most q. It needs the number of p-values
+    above each threshold only, from a histogram over (length class, steps an order of magnitude), a few thousand
+    cells at any size of corpus.
     """
     c = scanned.select(F.explode("cands").alias("c")).select("c.band", "c.p")
     cell = F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * steps), F.lit(30 * steps)).cast("int")
-    grid: dict[int, dict[int, int]] = {}
+    grid: list[dict[int, int]] = [{} for _ in LENGTHS]
     for r in c.groupBy("band", cell.alias("cell")).count().collect():
-        grid.setdefault(r["band"], {})[r["cell"]] = r["count"]
-    out = {}
-    for band, counts in grid.items():
-        total, under = sum(counts.values()), 0
-        out[band] = 0.0
-        for x in sorted(counts, reverse=True):
-            under += counts[x]
-            if (top := 10.0 ** (-x / steps)) <= q * under / total:
-                out[band] = top
-    return out
+        grid[r["band"]][r["cell"]] = r["count"]
+    return [_threshold(counts, q, least_p, steps) for counts in grid]
+
+
+def _threshold(counts: Mapping[int, int], q: float, least_p: float, steps: int) -> float:
+    """A cell x holds the p-values from 10 ** (-(x + 1) / steps) to 10 ** (-x / steps)."""
+    half = next(x for x in range(steps) if 10 ** (-(x + 1) / steps) <= 0.5)
+    middle = 10 ** (-(half + 1) / steps)
+    best, above = middle, sum(counts.get(x, 0) for x in range(half + 1))
+    # a standard error and one more than were seen, as few say little
+    random_ones = (above + math.sqrt(above) + 1) / (1 - middle)
+    x = half + 1
+    while (low := 10 ** (-(x + 1) / steps)) >= least_p * 0.999:
+        above += counts.get(x, 0)
+        if above - random_ones * (1 - low) <= q * above:
+            best = low
+        x += 1
+    return best
 
 
 def scan(docs: DataFrame, *, q: float = 0.05, least_p: float = 0.01) -> DataFrame:
     """Finds secrets in docs (doc_id, text): per row the base counts and digest, and spans, an array of (start, kind, end).
 
-    To the base kinds (0 assign, 1 access, 2 hex) the method adds kind 3, random: candidate runs whose battery
-    of randomness tests, each over the alphabet of their inferred encoding, doesn't reject randomness. Rejected
-    are p-values up to Benjamini and Hochberg's threshold in their length class, and in any case those under
-    least_p, as every longer run of prose has them. The parts of a run between /, - and _ are candidates too; a part
+    To the base kinds (0 assign, 1 access, 2 hex) the method adds kind 3, random: candidate runs of 16 characters or more whose battery
+    of randomness tests, over the alphabet of their inferred encoding, gives a p-value above the threshold of their length
+    class: so that of the strings called random a share of about q isn't, and never below least_p, the share
+    of random ones that is given up for it. The parts of a run between /, - and _ are candidates too; a part
     within a run or longer part that passes is not added, nor is a run that a base span covers. Offsets are
-    code points, ends exclusive. Null text counts as empty: no spans. Repeated rows give equal rows; a null
-    doc_id stays null. The texts are read once and not shuffled; what is written to the shared folder are
+    code points, ends exclusive. Null and empty texts have no spans; texts are read whole, however long, a run at a time. Repeated rows give equal rows; a null
+    doc_id stays null; other columns are left out; an empty table gives an empty table. The texts are read once and not shuffled; what is written to the shared folder are
     the spans and candidates, a small part of the texts.
     """
     scanned = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCAN_SCHEMA))
-    low = not_random_below(scanned, q)
-    return with_spans(scanned, low, least_p)
+    return with_spans(scanned, thresholds(scanned, q, least_p))
 
 
-def with_spans(scanned: DataFrame, low: dict[int, float], least_p: float) -> DataFrame:
+def with_spans(scanned: DataFrame, least: Sequence[float]) -> DataFrame:
     def passes(x: Column) -> Column:
-        limits = F.array(*[F.lit(max(low.get(b, 0.0), least_p)) for b in range(len(LENGTHS))])
+        limits = F.array(*[F.lit(p) for p in least])
         inside = F.exists("base", lambda s: (s["start"] <= x["start"]) & (x["end"] <= s["end"]))
-        return (x["p"] > F.get(limits, x["band"])) & ~inside
+        return (x["p"] >= F.get(limits, x["band"])) & ~inside
 
     within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
     scanned = scanned.withColumn("cands", F.filter("cands", passes))
@@ -216,9 +260,8 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _redact(low: dict[int, float], least_p: float):
+def _redact(limits: Sequence[float]):
     """A function for mapInArrow that replaces every span in column text by [kind]."""
-    limits = [max(low.get(b, 0.0), least_p) for b in range(len(LENGTHS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +270,7 @@ def _redact(low: dict[int, float], least_p: float):
             for i, t in enumerate(texts):
                 if t:
                     spans = base_spans(t)
-                    spans += [(a, 3, b) for a, b in outermost([(a, b) for a, b, band, p in candidates(t) if p > limits[band]])]
+                    spans += [(a, 3, b) for a, b in outermost([(a, b) for a, b, band, p in candidates(t) if p >= limits[band]])]
                     if spans:
                         texts[i] = redacted(t, sorted(spans))
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
@@ -252,5 +295,4 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, *, q: float = 0.05, least_p: float = 0.01) -> DataFrame:
     """docs with every secret in its text replaced by its kind in brackets; other columns and null texts stay as they are."""
     scanned = cut(docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCAN_SCHEMA).select("cands"))
-    low = not_random_below(scanned, q)
-    return docs.mapInArrow(_redact(low, least_p), docs.schema)
+    return docs.mapInArrow(_redact(thresholds(scanned, q, least_p)), docs.schema)
