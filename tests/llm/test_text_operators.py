@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -63,6 +64,14 @@ def test_language_segments_do_not_matter(monkeypatch, prose):
     assert not whole[[1, 2, 3]].any() and whole[5].any()
 
 
+def test_letters_are_those_of_unicode():
+    apart, letter = language_id._patterns()
+    assert apart.split("हिन्दी भाषा, a½b ²Ⅷ_ déjà") == ["हिन्दी", "भाषा", "a", "b", "déjà"]
+    enc = language_id.Encoder(64, 7)
+    assert not enc.profiles(["½ ² Ⅷ", "12_%", "́̀"], range(3), 3).any() and enc.profiles(["ह", "ａ", "ʰ"], range(3), 3).any(axis=1).all()
+    assert all((letter.match(chr(c)) is not None) == unicodedata.category(chr(c)).startswith("L") for c in range(0x30000))
+
+
 def test_language_odd(odd_docs, no_docs):
     model = language_id.train(odd_docs)
     rows = language_id.predict(odd_docs, model).collect()

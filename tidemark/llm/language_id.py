@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,8 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Anything but letters ends a word.
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@functools.cache
+def _class_of(kinds: str) -> str:
+    """Characters whose general category starts with one of kinds, as ranges of a regular expression's set."""
+    out, first = [], None
+    for cp in range(sys.maxunicode + 2):
+        inside = cp <= sys.maxunicode and unicodedata.category(chr(cp))[0] in kinds
+        if inside and first is None:
+            first = cp
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{cp - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+@functools.cache
+def _patterns() -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """What separates words, all but letters and their combining marks; and a letter."""
+    return re.compile(f"[^{_class_of('LM')}]+"), re.compile(f"[{_class_of('L')}]")
+
+
 #: Code points of a text that are handled at once.
 SEGMENT = 1 << 18
 PREDICTED = "doc_id bigint, lang_pred string, score double, und boolean"
@@ -47,10 +70,11 @@ class Encoder:
     def counts(self, texts: Sequence[str | None], rows: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, code, count) of the trigrams of texts, in portions of bounded size; rows says where each text's counts go."""
         held, owner, size = [], [], 0
+        apart, letter = _patterns()
         for row, text in zip(rows, texts, strict=True):
-            s = f" {NOT_LETTERS.sub(' ', (text or '').lower()).strip()} "
-            if len(s) < 3:
+            if not text or not letter.search(text):
                 continue
+            s = f" {apart.sub(' ', text.lower()).strip()} "
             for i in range(0, len(s) - 2, SEGMENT):
                 part = s[i : i + SEGMENT + 2]
                 held.append(part)
@@ -161,8 +185,9 @@ def _predict(model: Model):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, und) of docs (doc_id, text): the language whose prototype has the largest cosine, and that cosine.
 
-    Only the whole text is looked at. Null texts and texts without letters are und with score 0; of equal
-    cosines the first language in code point order wins. The model, dims numbers a language, goes along with the
-    tasks.
+    Only the whole text is looked at, however long, in segments of bounded size. Letters are those of Unicode with their combining marks; null and empty
+    texts and texts without letters are und with score 0; of equal
+    cosines the first language in code point order wins. Repeated rows get equal results, null doc_ids stay null, other columns are left out, and an
+    empty table gives an empty one. The model, dims numbers a language, goes along with the tasks.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model), PREDICTED)
