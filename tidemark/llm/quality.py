@@ -96,14 +96,16 @@ class LabelModel:
 def fit(patterns: Sequence[tuple[Sequence[int], int]], n_rules: int, rounds: int = 100, prior: float = 0.9, sensitivity: float = 0.98, specificity: float = 0.3) -> LabelModel:
     """Expectation-maximisation over (votes, number of documents).
 
-    There are at most 3 ** n_rules patterns whatever the size of the corpus, so this runs on the driver.
+    There are at most 3 ** n_rules patterns whatever the size of the corpus, so this runs on the driver; they are taken
+    in order, so that reruns agree in every bit.
     An abstention says nothing. A rule votes good on most good documents (a share that starts at `sensitivity`
-    and stays between 0.9 and 0.995) and bad on some bad ones (`specificity`, 0.05 to 0.95, as each rule
+    and stays between 0.9 and 0.995, a range so narrow that it is rather given than learned: rules that fail many good documents are not worth having) and bad on some bad ones (`specificity`, 0.05 to 0.95, as each rule
     knows one kind of bad document only). These ranges tell the classes apart, so they can't change places; the
     prior stays between 0.5 and 0.98. A few pseudo-documents keep rare votes from deciding.
     """
     clip = lambda x, lo, hi: min(hi, max(lo, x))
     sens, spec = [sensitivity] * n_rules, [specificity] * n_rules
+    patterns = sorted((tuple(votes), count) for votes, count in patterns)
     for _ in range(rounds):
         hits = [[2 * sensitivity, 2.0, 2 * specificity, 2.0] for _ in range(n_rules)]
         good = total = 0.0
@@ -156,7 +158,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "tex
     """The columns of docs but for the text, with counts, q_posterior (chance that the document is good), q_base_failed and q_kept.
 
     Null text counts as empty: no words, so base-failed. A corpus without documents gives no rows. Repeated
-    rows get equal verdicts. A document is kept if it passes the base limits and q_posterior >= threshold.
+    rows get equal verdicts; long texts are taken whole, within their row; null ids stay null. A document is kept if it passes the base limits and q_posterior >= threshold.
     Each text is gone through once; its counts and votes are written to the shared folder. Columns of docs
     that have the name of a result are replaced by it.
     """

@@ -83,7 +83,7 @@ l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matche
              list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS tri FROM w),
 f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper,
-             len(list_filter(ws, lambda x: regexp_matches(x, '^[("'']?\p{{L}}+(?:[''’-]\p{{L}}+)*[.,;:!?)"'']?$'))) AS plain, tri FROM l),
+             len(list_filter(ws, lambda x: regexp_matches(x, '^[("'']?[\p{{L}}\p{{M}}\p{{N}}]+(?:[''’.,:‌‍-][\p{{L}}\p{{M}}\p{{N}}]+)*[.,;:!?।)"''%]?$'))) AS plain, tri FROM l),
 u AS (SELECT doc_id, unnest(tri) AS g, unnest(range(len(tri))) AS i FROM f),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS twins FROM u) CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE twins > 1 GROUP BY doc_id),
 x AS MATERIALIZED (SELECT f.*, coalesce(c.n, 0) AS n_repeat_words, greatest(n_words, 1)::DOUBLE AS n FROM f LEFT JOIN c USING (doc_id)),
