@@ -14,6 +14,7 @@ import pytest
 from comparing import same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import embedding_dedup, ngram_join, queries, sql, url_filter, warc
 from tidemark.llm.common import connected_components, new_folder
@@ -100,16 +101,73 @@ def test_url_decisions_pass_over_redirects(spark):
     assert [r["page_id"] for r in out.where("verdict = 'block'").orderBy("page_id").collect()] == [0, 1, 8]
 
 
+LINKED = [
+    ("http://a.org/", '<head><link href="http://b.org/" rel="canonical"><LINK REL=canonical HREF=http://c.org/></head>'),
+    ("http://d.org/", "<meta http-equiv='Refresh' content='0; url=http://x.net/es/1'>"),
+    ("http://f.org/#x", "<link rel='stylesheet' href='http://x.net/es/2'>"),
+    ("http://h.org/p/q?r#s", "<link rel='canonical' href='/relative'>"),
+    ("http://h.org/p/q", '<link data-href="http://no.org/" rel="alternate canonical" href="other?x=1&amp;y=2#z">'),
+    ("HTTP://I.ORG/p", "<link rel=canonical href=//x.net/fr/><link rel=canonical href='mailto:a@b.c'>"),
+    ("http://j.org/p", "<link rel='not-canonical' href='http://x.net/fr/'><meta http-equiv=refresh content=5>"),
+    ("http://k.org/a/b", "<link rel=canonical href='?page=2'>"),
+    ("http://l.org", "<link rel=canonical href='x'>"),
+    ("http://h.org/relative", "<meta content='1;URL=http://www.example.com/en/1' http-equiv=\"refresh\"><link rel=canonical href=\"http://example.com/en/2\">"),
+    ("http://i.org/p#frag", None),
+    ("http://b.org/", "<link rel=canonical href='http://x.net/fr/2'>"),
+    ("no scheme", "<link rel=canonical href='/x'>"),
+    (None, None),
+]
+
+
 def test_links_in_pages(spark):
-    rows = [
-        ("http://a/", '<head><link href="http://b/" rel="canonical"><LINK REL=canonical HREF=http://c/></head>'),
-        ("http://d/", "<meta http-equiv='Refresh' content='0; url=http://e/'>"),
-        ("http://f/#x", "<link rel='stylesheet' href='http://g/'>"),
-        ("http://h/", "<link rel='canonical' href='/relative'>"),
-        (None, None),
-    ]
-    got = {(r["a"], r["b"]) for r in url_filter.links_in(spark.createDataFrame(rows, "url string, html string")).collect()}
-    assert got == {("http://a/", "http://b/"), ("http://d/", "http://e/"), ("http://f/#x", "http://f/")}
+    got = {(r["a"], r["b"]) for r in url_filter.links_in(spark.createDataFrame(LINKED, "url string, html string")).collect()}
+    assert got == {
+        ("http://a.org/", "http://b.org/"), ("http://a.org/", "http://c.org/"), ("http://d.org/", "http://x.net/es/1"), ("http://h.org/p/q?r", "http://h.org/relative"), ("http://h.org/p/q", "http://h.org/p/other?x=1&y=2"),
+        ("http://i.org/p", "http://x.net/fr/"), ("http://k.org/a/b", "http://k.org/a/b?page=2"), ("http://l.org", "http://l.org/x"), ("http://h.org/relative", "http://www.example.com/en/1"),
+        ("http://h.org/relative", "http://example.com/en/2"), ("http://b.org/", "http://x.net/fr/2"),
+    }
+
+
+def test_references_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.org/b/c/d?q", "http://a.org/b/c/", "http://a.org", "https://a.org:80/x"]
+    refs = ["g", "./g", "g/", "/g", "//h/g", "?y", "g?y", "../g", "../../g", "../../../g", "/./g", "/a/../g", "g/./h", "g/../h", "..", ".", "./", "../", "http://z/x", "g.", "..g", "g?y/../x", "x/..", ""]
+    rows = [(b, r) for b in bases for r in refs]
+    out = spark.createDataFrame(rows, "b string, r string").select("b", "r", url_filter.resolved(F.col("b"), F.col("r")).alias("u")).collect()
+    for x in out:
+        want = urljoin(x["b"], x["r"])
+        if x["b"] == "http://a.org" and x["r"] in ("..", ".", "./", "../"):
+            want = "http://a.org/"
+        assert x["u"] == want, (x["b"], x["r"])
+
+
+def test_decisions_of_linked_pages_against_sql(spark, tmp_path):
+    """Propagation over canonical links and redirects, with recursive components on the other side."""
+    import duckdb
+
+    r = random.Random(2)
+    hosts = ["x.net/es", "x.net/fr", "www.example.com/en", "example.com/en", "a.com", *(f"h{i}.org" for i in range(60))]
+    pick = lambda: f"http://{r.choice(hosts)}/{r.randrange(4)}"
+    rows = LINKED + [(pick() + r.choice(["", "#f"]), "".join(r.choice(["<link rel=canonical href='{}'>", "<meta http-equiv=refresh content='0;url={}'>"]).format(r.choice([pick(), f"/{r.randrange(4)}"])) for _ in range(r.choice([0, 0, 1, 1, 2])))) for _ in range(250)]
+    spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.op3_url_filter(spark, f"file://{tmp_path}")
+    same_rows(got, duck.sql(sql.URL_FILTER))
+    passed = got.where("rule is null").groupBy("verdict").count().collect()
+    assert {x["verdict"] for x in passed} == {"allow", "block"} and all(x["count"] > 5 for x in passed)
+
+
+def test_urls_odd(spark):
+    schema = "page_id long, url string, host string, path int, rule string, verdict string, extra string"
+    none = spark.createDataFrame([], schema)
+    edges = spark.createDataFrame([], "a string, b string")
+    assert url_filter.judge(none, queries.URL_RULES, edges).count() == 0
+    rows = [(1, "http://x.net/es/", "h", 1, "r", "v", "e"), (1, "http://x.net/es/", "h", 1, "r", "v", "e"), (None, None, None, None, None, None, None), (2, "http://x.net/fr/" + "a" * 200_000, None, None, None, None, None), (3, "", None, None, None, None, None)]
+    out = url_filter.judge(spark.createDataFrame(rows, schema), queries.URL_RULES, edges)
+    assert sorted(out.columns) == sorted(["page_id", "url", "extra", "host", "path", "rule", "verdict"])
+    assert Counter((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in out.collect()) == Counter({(1, "x.net", "net/es/", "block"): 2, (None, "", None, "allow"): 1, (2, "x.net", "net/fr/", "block"): 1, (3, "", None, "allow"): 1})
 
 
 # Shingles
@@ -327,8 +385,6 @@ def test_archive_ranges_own_their_records_and_skip_what_is_not_one():
 
 
 def test_ranges_run_in_tasks_of_their_own(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     folder = new_folder(spark, "warc-test")
     files = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(2), folder)
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

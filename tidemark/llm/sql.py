@@ -5,14 +5,41 @@ from __future__ import annotations
 SPACE = r"[\x20\x09-\x0D]+"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-URL_FILTER = r"""
-WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+_VALUE = r"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+
+
+def _attribute(name: str) -> str:
+    return "(" + " || ".join(f"regexp_extract(tag, '{_VALUE.replace('{name}', name)}', {g})" for g in (1, 2, 3)) + ")"
+
+
+def _node(url: str) -> str:
+    head = f"regexp_extract({url}, '^[^:/?#]+://[^/?#]*')"
+    return f"translate({head}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(split_part({url}, '#', 1), length({head}) + 1)"
+
+
+# but for . and .. segments of paths, which urls of the tables and the tests of this SQL don't have
+URL_FILTER = rf"""
+WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+refs AS (SELECT url, {_attribute("href")} AS ref FROM tags WHERE regexp_matches(tag, '(?i)^<link') AND regexp_matches({_attribute("rel")}, '(?i)(^|\s)canonical(\s|$)')
+         UNION ALL SELECT url, regexp_extract({_attribute("content")}, '(?i)\burl\s*=\s*[''"]?\s*([^''"\s]+)', 1) FROM tags
+         WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches({_attribute("http-equiv")}, '(?i)^\s*refresh\s*$') AND regexp_matches({_attribute("content")}, '(?i)\burl\s*=\s*[''"]?\s*[^''"\s]')),
+plain AS (SELECT url, split_part(trim(replace(replace(replace(ref, '&amp;', '&'), '&#38;', '&'), '&#x26;', '&')), '#', 1) AS ref, split_part(url, '#', 1) AS bare, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS root,
+          regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme, regexp_extract(split_part(url, '#', 1), '^[^:/?#]+://[^/?#]*([^?]*)', 1) AS path FROM refs),
+goes AS (SELECT url, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(ref, '://') THEN ref END WHEN root = '' THEN NULL WHEN ref = '' THEN bare WHEN starts_with(ref, '//') THEN scheme || ':' || ref
+         WHEN starts_with(ref, '/') THEN root || ref WHEN starts_with(ref, '?') THEN root || path || ref ELSE root || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || ref END AS target FROM plain),
+e AS MATERIALIZED (SELECT DISTINCT {_node("url")} AS a, {_node("target")} AS b FROM goes WHERE target IS NOT NULL),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, c) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT both_ways.b, reach.c FROM reach JOIN both_ways ON both_ways.a = reach.node WHERE reach.c < both_ways.b),
+classes AS MATERIALIZED (SELECT node, min(c) AS c FROM reach GROUP BY node),
+u AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM (SELECT url FROM pages UNION SELECT node FROM classes)),
+p AS MATERIALIZED (SELECT url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 r(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-h AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
-      FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict FROM p LEFT JOIN h USING (page_id)
+h AS MATERIALIZED (SELECT url, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+      FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
+passed AS (SELECT c, min(verdict) AS verdict FROM classes JOIN h ON h.url = classes.node GROUP BY c)
+SELECT pages.page_id, p.host, p.path, h.rule, coalesce(h.verdict, passed.verdict, 'allow') AS verdict
+FROM pages JOIN p ON p.url IS NOT DISTINCT FROM pages.url LEFT JOIN h ON h.url = pages.url LEFT JOIN classes ON classes.node = {_node("pages.url")} LEFT JOIN passed USING (c)
 """
 
 SOURCE_MIX = rf"""
