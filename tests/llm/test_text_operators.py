@@ -303,8 +303,17 @@ def test_mix_by_brute_force(spark):
     mix = lambda d, **how: mixing.mix(d, size=F.col("size"), **how).selectExpr("doc_id", "source", "size", "mix_source_size source_size", "mix_target target", "size * mix_copies taken").collect()
     rows = mix(df)
     check_mix([(s, z) for _, s, z in docs], rows)
-    again = mix(df.repartition(7), broadcast_sources=0)
-    assert {(x["doc_id"], x["taken"]) for x in rows} == {(x["doc_id"], x["taken"]) for x in again}
+    for how in ({"broadcast_sources": 0}, {"edge_rows": 3}):
+        again = mix(df.repartition(7), **how)
+        assert {(x["doc_id"], x["taken"]) for x in rows} == {(x["doc_id"], x["taken"]) for x in again}
+
+
+def test_mix_where_weights_crowd_the_keys(spark):
+    r = random.Random(4)
+    docs = [(i, r.choice("aab"), r.randint(0, 50), r.choice([0.01, 1.0, 500.0])) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long, w double")
+    rows, again = ({(x["doc_id"], x["mix_copies"]) for x in mixing.mix(df, size=F.col("size"), weight=F.col("w"), weights=(1.0, 3.0), edge_rows=n).collect()} for n in (10**6, 2))
+    assert rows == again and len(rows) == 3000
 
 
 def test_mix_prefers_heavy_documents(spark):

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, cut
 
 
+#: Parts into which the rows of a source are dealt where sources are too many for a broadcast.
+SALTS = 32
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
@@ -52,6 +56,7 @@ def mix(
     weights: Sequence[float] = (5.0, 2.0, 1.0),
     max_epochs: float = 3.0,
     broadcast_sources: int = 20_000,
+    edge_rows: int = 200_000,
 ) -> DataFrame:
     """Adds mix_size, mix_source_size, mix_target and mix_copies to docs.
 
@@ -60,14 +65,14 @@ def mix(
     so that reruns agree), as many as fit by prefix sum. One more goes on top, that which ends nearest to the budget, if that is nearer than without.
 
     The prefix sum needs no task that holds a source: the keys of a source of n rows fall into the square root
-    of n bins, sizes are summed by (source, bin), and only the bin in which the budget ends, of about as many rows, is
-    sorted row by row. What comes
+    of n bins, sizes are summed by (source, bin), and the bin in which the budget ends is cut into bins again until it has at most edge_rows rows,
+    which are sorted row by row. Weights crowd keys at one end, which takes a second pass at most in practice. What comes
     back to the rows is one cut per source, broadcast if there are at most broadcast_sources of them and
-    joined by source otherwise.
+    joined by source and a salt otherwise.
 
     Null text counts 0 words, a null source is a source of its own (last in order), null and repeated keys
     get equal random numbers and are told apart by size only: of rows equal in
-    key and size, all or none are taken. Weights that are null, not
+    key and size, all or none are taken. Empty texts have no words and are never taken, long ones are counted whole. Weights that are null, not
     finite or not positive count as 1. An empty table gives an empty table. Columns of docs named
     mix_size, mix_source_size, mix_target or mix_copies are replaced.
     """
@@ -91,51 +96,58 @@ def mix(
         .drop("s2")
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
         .withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-        .withColumn("bins", F.ceil(F.sqrt("rows")).cast("long"))
     )
-    plan = cut(plan)
+    plan = cut(plan.withColumnRenamed("source", "__k"))
     few = plan.count() <= broadcast_sources
-    hint = F.broadcast if few else (lambda x: x)
-
-    def with_plan(df: DataFrame) -> DataFrame:
-        p = plan.withColumnRenamed("source", "__p")
-        return df.join(hint(p), F.col("__src").eqNullSafe(F.col("__p"))).drop("__p")
-
-    placed = with_plan(slim).where("budget > 0 and epochs < " + str(float(max_epochs))).withColumn("bin", F.least(F.floor(F.col("__rank") * F.col("bins")), F.col("bins") - 1))
-    by_bin = placed.groupBy("__src", "bin").agg(F.sum("__size").alias("in_bin"), F.first("budget").alias("budget"))
-    before = F.coalesce(F.sum("in_bin").over(W.partitionBy("__src").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    last_bin = (
-        by_bin.withColumn("before", before)
-        .where("before <= budget and before + in_bin > budget")
-        .select(F.col("__src").alias("__s"), F.col("bin").alias("__b"), "before")
-    )
-    edge = placed.join(hint(last_bin) if few else last_bin, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("bin") == F.col("__b")))
+
+    def by_source(df: DataFrame, side: DataFrame) -> DataFrame:
+        """Rows with the columns that `side` has for their source (__k): broadcast, or beyond that number joined by source and a salt, as one source may hold a third of all rows."""
+        same = F.col("__src").eqNullSafe(F.col("__k"))
+        if few:
+            return df.join(F.broadcast(side), same).drop("__k")
+        side = side.withColumn("__m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return df.withColumn("__l", F.pmod(F.xxhash64("__tie"), F.lit(SALTS)).cast("int")).join(side, same & (F.col("__l") == F.col("__m"))).drop("__k", "__l", "__m")
+
+    placed = by_source(slim, plan.select("__k", "epochs", "budget", "rows")).where("budget > 0 and epochs < " + str(float(max_epochs))).select("__src", "__size", "__rank", "__tie", "budget")
+    # where each source's budget ends: among all its rows, then among those of the bin of the cut, until these are few
+    ends = plan.select("__k", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("before"), F.col("rows").alias("inside"))
+    most = None
+    while True:
+        inside = by_source(placed, ends).where("__rank between lo and hi").withColumn("bins", F.ceil(F.sqrt("inside")))
+        inside = inside.withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("__rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)).otherwise(0))
+        by_bin = inside.groupBy("__src", "bin").agg(F.sum("__size").alias("in_bin"), F.count(F.lit(1)).alias("n"), F.min("__rank").alias("lo"), F.max("__rank").alias("hi"), F.first("budget").alias("budget"), F.first("before").alias("start"))
+        before = F.col("start") + F.coalesce(F.sum("in_bin").over(W.partitionBy("__src").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ends = by_bin.withColumn("before", before).where("before <= budget and before + in_bin > budget")
+        ends = cut(ends.select(F.col("__src").alias("__k"), "lo", "hi", "before", F.col("n").alias("inside")))
+        last, most = most, ends.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("inside")))).first()[0]
+        if most is None or most <= edge_rows or most == last:
+            break
+    edge = by_source(placed, ends).where("__rank between lo and hi")
     upto = F.sum("__size").over(W.partitionBy("__src").orderBy("__rank", "__tie").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
     here = F.struct("__rank", "__tie")
     fits = F.col("upto") <= F.col("budget")
-    cuts = edge.withColumn("upto", upto).groupBy(F.col("__src").alias("__c")).agg(F.max(F.when(fits, here)).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("filled"), F.max("before").alias("before"), F.max("bin").alias("cut_bin"))
-    cuts = cut(cuts.select("__c", "cut", "cut_bin", F.coalesce("filled", "before").alias("filled")))
+    cuts = edge.withColumn("upto", upto).groupBy(F.col("__src").alias("__k")).agg(F.max(F.when(fits, here)).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("filled"), F.max("before").alias("before"), F.max("lo").alias("cut_from"))
+    cuts = cut(cuts.select("__k", "cut", "cut_from", F.coalesce("filled", "before").alias("filled")))
 
-    def within(cut_key: Column, cut_bin: Column) -> Column:
+    def within(cut_key: Column, cut_from: Column) -> Column:
         """Whether a row lies before the cut; where no row of the last bin fits, that bin's lower end is the cut."""
-        bin_of = F.least(F.floor(F.col("__rank") * F.col("bins")), F.col("bins") - 1)
-        return F.when(cut_key.isNotNull(), here <= cut_key).otherwise(bin_of < cut_bin)
+        return F.when(cut_key.isNotNull(), here <= cut_key).otherwise(F.col("__rank") < cut_from)
 
     # one more document, that which ends nearest to the budget, if it ends nearer than none
-    left = placed.join(hint(cuts), F.col("__src").eqNullSafe(F.col("__c"))).where(~within(F.col("cut"), F.col("cut_bin")))
+    left = by_source(placed, cuts).where(~within(F.col("cut"), F.col("cut_from")))
     left = left.withColumn("gap", F.col("budget") - F.col("filled")).withColumn("off", F.abs(F.col("__size") - F.col("gap"))).where("off < gap")
-    nearest = left.groupBy(F.col("__src").alias("__n")).agg(F.min("off").alias("least"))
-    top_up = left.join(hint(nearest), F.col("__src").eqNullSafe(F.col("__n")) & (F.col("off") == F.col("least"))).groupBy(F.col("__src").alias("__t")).agg(F.min(here).alias("top_up"))
-    p = plan.select(F.col("source").alias("__p"), "source_size", "target", "epochs", "budget", "bins")
-    p = p.join(cuts, F.col("__p").eqNullSafe(F.col("__c")), "left").drop("__c", "filled").join(top_up, F.col("__p").eqNullSafe(F.col("__t")), "left").drop("__t")
+    nearest = left.groupBy(F.col("__src").alias("__k")).agg(F.min("off").alias("least"))
+    top_up = by_source(left, nearest).where("off = least").groupBy(F.col("__src").alias("__t")).agg(F.min(here).alias("top_up"))
+    p = plan.select("__k", "source_size", "target", "epochs", "budget")
+    p = p.join(cuts.drop("filled").withColumnRenamed("__k", "__c"), F.col("__k").eqNullSafe(F.col("__c")), "left").drop("__c").join(top_up, F.col("__k").eqNullSafe(F.col("__t")), "left").drop("__t")
     p = cut(p)
     extra = (
         F.when(F.col("budget") <= 0, 0)
-        .when(F.col("cut_bin").isNull(), 1)  # the budget takes all
-        .otherwise((within(F.col("cut"), F.col("cut_bin")) | F.coalesce(here == F.col("top_up"), F.lit(False))).cast("int"))
+        .when(F.col("cut_from").isNull(), 1)  # the budget takes all
+        .otherwise((within(F.col("cut"), F.col("cut_from")) | F.coalesce(here == F.col("top_up"), F.lit(False))).cast("int"))
     )
     copies = F.least(F.col("epochs") + extra, F.lit(int(max_epochs)))
-    out = own.join(hint(p), F.col("__src").eqNullSafe(F.col("__p")))
+    out = by_source(own, p)
     return out.select(
         "__row.*",
         F.col("__size").alias("mix_size"),
