@@ -101,7 +101,7 @@ def test_a_batch_of_a_stream_counts_once(spark, engine):
     engine.query("CREATE MATERIALIZED VIEW mv ON main AS SELECT sum(v) AS s INTO roll FROM m GROUP BY time(1m), h")
     rows = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS time, 'a' AS h, 5.0D AS s")
     for batch in (-7, -7, -8):
-        engine._append_partials("main", "autogen", "roll", rows, ["h"], batch)
+        engine._append_partials("main", "autogen", "roll", rows, ["h"], batch, again=True)
     assert values(engine, "SELECT sum(s) FROM roll") == [[10]]
 
 

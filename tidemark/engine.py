@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import time as clock
-import zlib
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,9 @@ from tidemark.plans.ast import Measurement, QueryError, Select, Statement
 from tidemark.plans.digest import StatementLog
 from tidemark.plans.parser import parse, parse_one
 from tidemark.plans.planner import Frame, Planner, cq_select
-from tidemark.plans.resolve import Bounds, Conditions, Schema, full_or_prefix_match
+from tidemark.plans.resolve import Bounds, Conditions, Early, Schema, full_or_prefix_match
 from tidemark.sources import line_protocol, msgpack
-from tidemark.sources.catalog import SPARK_TYPES, Catalog, merged, new_measurement, policy
+from tidemark.sources.catalog import SPARK_TYPES, Catalog, add_version, merged, new_measurement, policy, widen
 from tidemark.sources.fsio import Files
 from tidemark.sources.tables import FrameTable, StoredTable
 from tidemark.streaming import rollup
@@ -96,7 +98,7 @@ class Engine:
         meta = self.catalog.measurement(db, rp, name)
         if meta is None or not meta["fields"]:
             return None
-        return StoredTable(self.spark, name, self._folder(db, rp, name), meta, lambda s: self._tombstones(db, rp, name, s), series_bytes=meta.get("series_bytes"))
+        return StoredTable(self.spark, self.files, name, self._folder(db, rp, name), meta, lambda s: self._tombstones(db, rp, name, s))
 
     def _folder(self, db: str, rp: str, name: str) -> str:
         safe = lambda s: re.sub(r"[^A-Za-z0-9_.-]", lambda m: f"%{ord(m[0]):04x}", s)
@@ -142,6 +144,23 @@ class Engine:
             out.append({"statement_id": i, "series": series} if series else {"statement_id": i})
         return out
 
+    def chunks(self, text: str, params: Mapping[str, object] | None = None, *, db: str | None = None, rp: str | None = None, epoch: str | None = None, size: int = 10_000) -> Iterator[dict]:
+        """The results of query() in pieces of at most `size` rows of one series, as Spark hands them over: the driver holds one piece at a time.
+
+        A piece whose series (or statement) goes on in the next one says partial.
+        """
+        for i, s in enumerate(parse(text, params)):
+            if not isinstance(s, Select) or s.into is not None or s.slimit is not None or s.soffset:
+                series: Iterable[dict] = (self._select(s, db, rp, epoch) if isinstance(s, Select) else self._statement(s, db, rp)) or [{}]
+            else:
+                series = (x for f in self.planner().plan(s, db, rp) for x in result.series_of(f, epoch, size))
+            held = None
+            for x in series:
+                if held is not None:
+                    yield {"statement_id": i, "series": [held], "partial": True}
+                held = x
+            yield {"statement_id": i, "series": [held]} if held else {"statement_id": i}
+
     def _select(self, q: Select, db: str | None, rp: str | None, epoch: str | None) -> list[dict]:
         if q.into is not None:
             n = self.select_into(q, db, rp)
@@ -158,58 +177,75 @@ class Engine:
 
     def write(self, lines: str | Iterable[str] | DataFrame, *, db: str | None = None, rp: str | None = None, precision: str | None = None) -> int:
         """Line protocol, as text or as a frame with a column value. The write takes place as a whole or not at all."""
-        if not isinstance(lines, DataFrame):
+        bulk = isinstance(lines, DataFrame)
+        if not bulk:
             held = lines.split("\n") if isinstance(lines, str) else list(lines)
             lines = self.spark.createDataFrame([(x,) for x in held], "value string")
-        return self.write_points(line_protocol.parse_lines(lines, precision, self.now()), db=db, rp=rp)
+        return self.write_points(line_protocol.parse_lines(lines, precision, self.now()), db=db, rp=rp, bulk=bulk)
 
     def write_files(self, path: str, *, db: str | None = None, rp: str | None = None, precision: str | None = None) -> int:
-        """Line protocol files, plain or gzipped, read by the executors."""
-        return self.write_points(line_protocol.parse_lines(self.spark.read.text(path), precision, self.now()), db=db, rp=rp)
+        """Line protocol files, plain or gzipped, read by the executors, of any number of lines."""
+        return self.write_points(line_protocol.parse_lines(self.spark.read.text(path), precision, self.now()), db=db, rp=rp, bulk=True)
 
     def write_msgpack(self, body: bytes | DataFrame, *, columnar: bool = False, db: str | None = None, rp: str | None = None) -> int:
         """A MessagePack body, or a frame with a binary column content, a body each (as the binaryFile source gives)."""
-        bodies = body if isinstance(body, DataFrame) else self.spark.createDataFrame([(bytearray(body),)], "content binary")
+        bulk = isinstance(body, DataFrame)
+        bodies = body if bulk else self.spark.createDataFrame([(bytearray(body),)], "content binary")
         parse_bodies = msgpack.parse_columnar if columnar else msgpack.parse_bodies
-        return self.write_points(parse_bodies(bodies, self.now()), db=db, rp=rp)
+        return self.write_points(parse_bodies(bodies, self.now()), db=db, rp=rp, bulk=bulk)
+
+    def write_points(self, points: DataFrame, *, db: str | None = None, rp: str | None = None, guard: bool = True, bulk: bool = False) -> int:
+        """Points as line_protocol.POINTS has them; returns their number. bulk: what executors read isn't held against the largest number of points."""
+        return self._write(points, db, rp, guard=guard, bulk=bulk)
 
-    def write_points(self, points: DataFrame, *, db: str | None = None, rp: str | None = None, guard: bool = True) -> int:
-        """Points as line_protocol.POINTS has them; returns their number.
+    def _write(self, points: DataFrame, db: str | None, rp: str | None, *, guard: bool = True, bulk: bool = False, batch: int | None = None, now: int | None = None, again: bool = False, rejects: str | None = None) -> int:
+        """Writes points as batch number `batch` (by default the next).
 
-        The points are parsed once, into a staging folder. What the driver learns of them is their schema: types by measurement
-        and field, tag keys, counts.
+        The points are parsed once, into a staging folder parted by measurement. What the driver learns of them is their schema: types by measurement
+        and field, tag keys, dates, counts. The catalog says what a write will do before any file of it is there, so a write that
+        is broken off leaves nothing that reading would take for more than it is. Points that can't be parsed raise
+        an error, or go to the folder `rejects`; again: the batch may have been written before.
         """
+        if self.root is None:
+            raise WriteError("an engine without a root holds no data of its own")
         db = db or self.default_db
         rp = self.catalog.rp(db, rp)
-        batch = self.catalog.next_batch()
+        batch = self.catalog.next_batch() if batch is None else batch
+        now = self.now() if now is None else now
         stage = f"{self.root}/staging/{batch}"
-        if self.root is None:
-            raise WriteError("an engine without a root holds no data of its own")
-        now = self.now()
         # later writes have larger numbers; within one, lines in the order of their partitions and places
-        at = F.monotonically_increasing_id()
+        at = F.col("place") if "place" in points.columns else F.monotonically_increasing_id()
         seq = F.lit(batch << 44) + F.shiftright(at, 33) * (1 << 27) + at.bitwiseAND(F.lit((1 << 27) - 1))
-        points.withColumn("time_ns", F.coalesce("time_ns", F.lit(now))).withColumn("seq", seq).write.mode("overwrite").parquet(stage)
+        names = ["tags", "fields", "types", "time_ns", "error"]
+        points.withColumn("time_ns", F.coalesce("time_ns", F.lit(now))).select("measurement", *names, seq.alias("seq")).write.mode("overwrite").partitionBy("measurement").parquet(stage)
         try:
-            staged = self.spark.read.parquet(stage)
-            bad = staged.where("error is not null").select("error").first()
-            if bad:
-                raise WriteError(f"unable to parse: {bad[0]}")
-            kinds = staged.select("measurement", F.explode("types").alias("field", "kind")).distinct().collect()
-            keys = staged.select("measurement", F.explode(F.map_keys("tags")).alias("tag")).distinct().collect()
-            total = staged.count()
-            if guard and self.limits.points is not None and total > self.limits.points:
+            staged = self.spark.read.schema("tags map<string,string>, fields map<string,string>, types map<string,string>, time_ns bigint, error string, seq bigint, measurement string").parquet(stage)
+            bad = staged.where("measurement is null and error is not null").select("error")
+            if rejects is not None:
+                if bad.head(1):
+                    bad.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{rejects}/{batch}")
+                staged = staged.where("error is null")
+            elif first := bad.first():
+                raise WriteError(f"unable to parse: {first[0][:500]}")
+            counts = {r["measurement"]: r["count"] for r in staged.groupBy("measurement").count().collect()}
+            total = sum(counts.values())
+            if guard and not bulk and self.limits.points is not None and total > self.limits.points:
                 raise WriteError(f"too many points: {total}")
-            by_name: dict[str, tuple[dict, set]] = {}
-            for r in kinds:
-                fields = by_name.setdefault(r["measurement"], ({}, set()))[0]
-                fields.setdefault(r["field"], []).append(r["kind"])
-            for r in keys:
-                by_name.setdefault(r["measurement"], ({}, set()))[1].add(r["tag"])
+            by_name: dict[str, tuple[dict, set, set]] = {m: ({}, set(), set()) for m in sorted(counts)}
+            for r in staged.select("measurement", F.explode("types").alias("field", "kind")).distinct().collect():
+                by_name[r["measurement"]][0].setdefault(r["field"], []).append(r["kind"])
+            for r in staged.select("measurement", F.explode(F.map_keys("tags")).alias("tag")).distinct().collect():
+                by_name[r["measurement"]][1].add(r["tag"])
+            for r in staged.select("measurement", _time_of("time_ns").cast("date").cast("string").alias("date")).distinct().collect():
+                by_name[r["measurement"]][2].add(r["date"])
             metas = self._checked(db, rp, by_name, staged if guard else None)
             for name, meta in metas.items():
-                self._append(db, rp, name, meta, staged.where(F.col("measurement") == name))
-                self._refresh_views(db, rp, name, meta, staged.where(F.col("measurement") == name))
+                self._announce(db, rp, name, meta, by_name[name][2])
+            self.catalog.save()
+            for name, meta in metas.items():
+                rows = staged.where(F.col("measurement") == name)
+                self._append(db, rp, name, meta, rows)
+                self._refresh_views(db, rp, name, meta, rows, batch, again)
             self.catalog.save()
         finally:
             self.files.delete(stage)
@@ -218,16 +254,28 @@ class Engine:
     def ingest_stream(self, lines: DataFrame, checkpoint: str, *, db: str | None = None, rp: str | None = None, precision: str | None = None, once: bool = True):
         """Writes a stream of line protocol (column value), a micro-batch at a time.
 
-        A batch that runs again after a failure writes the same points again, which reading takes as one.
-        Lines that can't be parsed are left out, as a stream can't be refused as a whole.
+        A micro-batch that runs again after a failure has the same number and time of writing: its points are written
+        again, which reading takes as one, and views that it has fed are left alone. Lines that can't be parsed
+        don't stop the stream; see rejected().
         """
 
         def batch(df: DataFrame, number: int) -> None:
-            points = line_protocol.parse_lines(df, precision, self.now()).where("error is null")
-            self.write_points(points, db=db, rp=rp, guard=False)
+            n, now, again = self.catalog.stream_batch(self._stream_id(checkpoint), number, self.now())
+            self._write(line_protocol.parse_lines(df, precision, now), db, rp, guard=False, batch=n, now=now, again=again, rejects=f"{self.root}/rejected")
 
         return rollup.run_stream(lines, batch, checkpoint, once=once)
 
+    def rejected(self) -> DataFrame:
+        """Lines that streams could not parse: error (what is wrong, and the line) and batch."""
+        folder = f"{self.root}/rejected"
+        found = [f"{folder}/{x}" for x in self.files.list(folder)]
+        schema = "error string, batch bigint"
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def _stream_id(self, checkpoint: str) -> str:
+        """The id that Spark gave a stream when its checkpoint was made."""
+        return json.loads(self.files.read(f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
     def _checked(self, db: str, rp: str, by_name: dict, staged: DataFrame | None) -> dict[str, dict]:
         """The measurements' schemas after the write; raises before anything is written."""
         out = {}
@@ -235,42 +283,51 @@ class Engine:
         fresh = [n for n in by_name if self.catalog.measurement(db, rp, n) is None]
         if self.limits.measurements is not None and len(self._names(db, rp)) + len(fresh) > self.limits.measurements:
             raise WriteError("too many measurements")
-        for name, (fields, tags) in by_name.items():
+        for name, (fields, tags, _) in by_name.items():
             if staged is not None and (rp, name) in views:
                 raise WriteError(f"{name} is the destination of a materialized view")
             meta = self.catalog.measurement(db, rp, name) or new_measurement()
-            for f, found in sorted(fields.items()):
-                for kind in sorted(found):
-                    meta = merged(meta, {f: kind}, [])
-            meta = merged(meta, {f: meta["fields"][f] for f in fields}, sorted(tags))
-            if len(meta["versions"]) > 1 and meta["versions"][-2] == {}:
-                meta["versions"].pop(-2)
-            out[name] = meta
+            out[name] = merged(meta, {f: functools.reduce(widen, sorted(found), None) for f, found in sorted(fields.items())}, sorted(tags))
             if self.limits.tag_values is not None and staged is not None:
                 seen = staged.where(F.col("measurement") == name).select(F.explode("tags").alias("k", "v")).groupBy("k").agg(F.count_distinct("v").alias("n")).where(F.col("n") > self.limits.tag_values).first()
                 if seen:
                     raise WriteError(f"too many values of tag {seen['k']}")
         return out
 
+    def _announce(self, db: str, rp: str, name: str, meta: dict, dates: set[str] | None) -> None:
+        """Puts into the catalog what a write to these dates (None: any) makes of a measurement: dates that have facts are shared from now on."""
+        folder = f"{self._folder(db, rp, name)}/facts"
+        old = self.catalog.measurement(db, rp, name)
+        known = {v["folder"] for v in old["versions"]} if old else {"v0"}
+        for v in meta["versions"]:
+            if v["folder"] not in known:  # what a broken-off compaction may have left
+                self.files.delete(f"{folder}/{v['folder']}")
+        if dates is None:
+            meta["shared"] = "*"
+        elif meta["shared"] != "*":
+            held = {d[5:] for v in meta["versions"] for d in self.files.list(f"{folder}/{v['folder']}") if d.startswith("date=")}
+            meta["shared"] = sorted({*meta["shared"], *(held & dates)})
+        self.catalog.put_measurement(db, rp, name, meta)
+
     def _append(self, db: str, rp: str, name: str, meta: dict, points: DataFrame) -> None:
         """Writes one measurement's points: new series first, then facts, coalesced within the batch and parted by date."""
         folder = self._folder(db, rp, name)
-        series = points.select(_series_id(name), "tags").dropDuplicates(["series_id"])
+        self._append_series(folder, points.select(_series_id(name), "tags"))
+        version = meta["versions"][-1]
+        merged_rows = self._facts_of(name, version["types"], points).drop("tags").withColumn("date", F.col("time").cast("date"))
+        merged_rows.hint("rebalance", "date").sortWithinPartitions("date", "series_id", "time").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/{version['folder']}")
+
+    def _append_series(self, folder: str, series: DataFrame) -> None:
+        """Adds the series (series_id, tags) that the measurement lacks."""
+        series = series.dropDuplicates(["series_id"])
         if self.files.exists(f"{folder}/series"):
-            known = self.spark.read.schema("series_id bigint").parquet(f"{folder}/series")
-            series = series.join(known, "series_id", "left_anti")
+            series = series.join(self.spark.read.schema("series_id bigint").parquet(f"{folder}/series"), "series_id", "left_anti")
         series.write.mode("append").parquet(f"{folder}/series")
-        merged_rows = self._facts_of(name, meta["versions"][-1], points).drop("tags").withColumn("date", F.col("time").cast("date"))
-        v = len(meta["versions"]) - 1
-        merged_rows.hint("rebalance", "date").sortWithinPartitions("date", "series_id", "time").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v{v}")
-        meta["series_bytes"] = int(self.spark.read.parquet(f"{folder}/series").count()) * 200
-        self.catalog.put_measurement(db, rp, name, meta)
 
     @staticmethod
     def _facts_of(name: str, types: Mapping[str, str], points: DataFrame) -> DataFrame:
         """Rows of series_id, time, __ns, tags, ingest_seq and typed fields; points of one series and instant become one row."""
-        at = F.timestamp_micros(F.expr("(time_ns - pmod(time_ns, 1000)) div 1000")).cast("timestamp_ntz").alias("time")
-        facts = points.select(_series_id(name), at, F.pmod("time_ns", F.lit(1000)).cast("smallint").alias("__ns"), "tags", "seq", *[_typed(F.col("fields")[f], k).alias(f) for f, k in types.items()])
+        facts = points.select(_series_id(name), _time_of("time_ns").alias("time"), F.pmod("time_ns", F.lit(1000)).cast("smallint").alias("__ns"), "tags", "seq", *[_typed(F.col("fields")[f], k).alias(f) for f, k in types.items()])
         newest = [F.max_by(F.col(quoted(f)), F.when(F.col(quoted(f)).isNotNull(), F.col("seq"))).alias(f) for f in types]
         return facts.groupBy("series_id", "time", "__ns").agg(F.first("tags").alias("tags"), F.max("seq").alias("ingest_seq"), *newest)
 
@@ -302,7 +359,7 @@ class Engine:
                 if t is None:
                     continue
                 columns = [t.schema.tag_column(x) for x in t.schema.tags]
-                rows = t.rows(list(t.schema.fields), columns, None, bounds)
+                rows = t.rows(list(t.schema.fields), columns, Early(), bounds)
                 if bounds.lo is not None or bounds.hi is not None:
                     us = F.unix_micros(F.col("time").cast("timestamp"))
                     rows = rows.where((us >= (bounds.lo if bounds.lo is not None else -(1 << 62))) & (us <= (bounds.hi if bounds.hi is not None else 1 << 62)))
@@ -365,7 +422,7 @@ class Engine:
             raise QueryError(f"measurement not found: {src.name}")
         tags = self.planner().dimensions(q, table.schema)
         fields, rollups, means = rollup.stored_fields(columns, {f: _kind(k) for f, k in table.schema.fields.items()})
-        meta = new_measurement() | {"fields": fields, "tags": sorted(tags), "rollups": rollups, "mean_fields": means, "versions": [dict(fields)]}
+        meta = new_measurement() | {"fields": fields, "tags": sorted(tags), "rollups": rollups, "mean_fields": means, "versions": [{"folder": "v0", "types": dict(fields)}], "shared": "*"}
         self.catalog.put_measurement(db, dest_rp, q.into.name, meta)
         self.catalog.database(db)["mvs"][name] = {"text": text, "source": src.name, "source_db": src.db or db, "source_rp": rp, "dest": q.into.name, "rp": dest_rp}
         if backfill:
@@ -377,8 +434,8 @@ class Engine:
     def _renamed(rows: DataFrame, schema: Schema, tags: list[str]) -> DataFrame:
         return rows.withColumnsRenamed({schema.tag_column(t): t for t in tags if schema.tag_column(t) != t})
 
-    def _append_partials(self, db: str, rp: str, name: str, partial: DataFrame, tags: list[str], batch: int) -> None:
-        """Appends a batch of partial rows. Those of streams have negative numbers, and one that is there already is left alone, so a retry doesn't count twice."""
+    def _append_partials(self, db: str, rp: str, name: str, partial: DataFrame, tags: list[str], batch: int, again: bool = False) -> None:
+        """Appends a batch of partial rows; with again, one that is there already is left alone, so a retry doesn't count twice."""
         meta = self.catalog.measurement(db, rp, name)
         folder = self._folder(db, rp, name)
         tag_map = F.map_from_arrays(F.array(*[F.lit(t) for t in tags]), F.array(*[F.col(quoted(t)) for t in tags])) if tags else F.create_map().cast("map<string,string>")
@@ -386,16 +443,15 @@ class Engine:
         extra = [c for c in partial.columns if c.startswith(("__first_at_", "__last_at_"))]
         rows = partial.select(filled.alias("tags"), "time", *[F.col(quoted(f)).cast(SPARK_TYPES[k]).alias(f) for f, k in meta["fields"].items()], *[F.col(quoted(e)) for e in extra])
         rows = rows.withColumn("series_id", _series_id(name))
-        series = rows.select("series_id", "tags").dropDuplicates(["series_id"])
-        if self.files.exists(f"{folder}/series"):
-            series = series.join(self.spark.read.schema("series_id bigint").parquet(f"{folder}/series"), "series_id", "left_anti")
-        series.write.mode("append").parquet(f"{folder}/series")
+        self._append_series(folder, rows.select("series_id", "tags"))
         facts = rows.drop("tags").withColumn("__ns", F.lit(0).cast("smallint")).withColumn("ingest_seq", F.lit(batch).cast("long")).withColumn("date", F.col("time").cast("date"))
-        if batch < 0 and self._has_batch(f"{folder}/facts/v0", facts, batch):
+        path = f"{folder}/facts/{meta['versions'][-1]['folder']}"
+        if again and self._has_batch(path, facts, batch):
             return
-        facts.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(f"{folder}/facts/v0")
-        meta["series_bytes"] = int(self.spark.read.parquet(f"{folder}/series").count()) * 200
-        self.catalog.put_measurement(db, rp, name, meta)
+        if meta["shared"] != "*":  # partials of a bucket come with every batch
+            self._announce(db, rp, name, meta, None)
+            self.catalog.save()
+        facts.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
     def _has_batch(self, folder: str, facts: DataFrame, batch: int) -> bool:
         """Whether rows of a batch are in the dates that it has rows for."""
@@ -408,27 +464,26 @@ class Engine:
         return bool(held.where(F.col("date").between(*days) & (F.col("ingest_seq") == batch)).head(1))
 
     def view_stream(self, db: str, name: str, source: DataFrame, checkpoint: str, *, time: str, once: bool = True):
-        """Feeds a materialized view from a stream of rows (time, tags, fields): partials of every micro-batch are appended."""
+        """Feeds a materialized view from a stream of rows (time, tags, fields): partials of every micro-batch are appended, once however often it runs."""
         mv = self.catalog.database(db)["mvs"][name]
         q = parse_one(mv["text"])
         columns = rollup.definition(q)
         tags = self.catalog.measurement(db, mv["rp"], mv["dest"])["tags"]
 
-        # numbers start anew with another checkpoint, so that is part of them
-        stream = zlib.crc32(checkpoint.encode()) & 0xFFFFF
-
         def batch(df: DataFrame, number: int) -> None:
+            # micro-batches are numbered anew in each stream, and the catalog gives each stream a number of its own
+            stream = self.catalog.stream(self._stream_id(checkpoint))["no"]
+            self.catalog.save()
             rows = df.withColumnRenamed(time, "time").withColumn("time", F.col("time").cast("timestamp_ntz"))
             rows = rows.withColumns({t: F.coalesce(F.col(quoted(t)).cast("string"), F.lit("")) for t in tags})
             if q.where is not None:
                 kinds = {f.name: f.dataType for f in rows.schema.fields if f.name not in ("time", *tags)}
                 rows = rows.where(Conditions(Schema(kinds, tuple(tags)), self.now()).column(q.where))
-            self._append_partials(db, mv["rp"], mv["dest"], rollup.partials(rows, q, columns, tags), tags, -1 - (stream << 40 | number))
-            self.catalog.save()
+            self._append_partials(db, mv["rp"], mv["dest"], rollup.partials(rows, q, columns, tags), tags, -1 - (stream << 40 | number), again=True)
 
         return rollup.run_stream(source, batch, checkpoint, once=once)
 
-    def _refresh_views(self, db: str, rp: str, name: str, meta: dict, points: DataFrame) -> None:
+    def _refresh_views(self, db: str, rp: str, name: str, meta: dict, points: DataFrame, batch: int, again: bool) -> None:
         """Adds a batch of a measurement's points, coalesced within itself, to the views that read it."""
         for home, d in self.catalog.databases.items():
             for mv in d["mvs"].values():
@@ -442,29 +497,43 @@ class Engine:
                 if q.where is not None:
                     kinds = {x.name: x.dataType for x in rows.schema.fields if x.name in fields}
                     rows = rows.where(Conditions(Schema(kinds, tuple(t for t in meta["tags"] if t not in fields)), self.now()).column(q.where))
-                self._append_partials(home, mv["rp"], mv["dest"], rollup.partials(rows, q, columns, tags), tags, self.catalog.next_batch())
+                self._append_partials(home, mv["rp"], mv["dest"], rollup.partials(rows, q, columns, tags), tags, batch, again)
 
     # Retention
 
     def enforce_retention(self, now: int | None = None) -> int:
-        """Rewrites what policies have outlived: whole days are dropped, the day of the cut is filtered; returns measurements touched."""
+        """Drops what policies have outlived: the files of whole days, and by a bound on time what is left of the day of the cut; returns measurements touched.
+
+        The bound is in the catalog before files go. Points written later but before it stay hidden; compact() removes what it hides.
+        """
         now = self.now() if now is None else now
-        touched = 0
+        touched = []
         for db, d in self.catalog.databases.items():
             for rp, p in d["policies"].items():
                 if not p["duration"]:
                     continue
                 cut_us = (now - p["duration"]) // 1000
+                day = (datetime(1970, 1, 1) + timedelta(microseconds=cut_us)).date().isoformat()
                 for name in self.catalog.measurements(db, rp):
-                    folder = self._folder(db, rp, name)
-                    for v in self.files.list(f"{folder}/facts"):
-                        touched += self._drop_before(f"{folder}/facts/{v}", cut_us)
-        return touched
+                    meta = self.catalog.measurement(db, rp, name)
+                    folder = f"{self._folder(db, rp, name)}/facts"
+                    held = [f"{folder}/{v['folder']}/{x}" for v in meta["versions"] for x in self.files.list(f"{folder}/{v['folder']}") if x.startswith("date=") and x[5:] <= day]
+                    if held:
+                        meta["not_before"] = max(cut_us, meta["not_before"] or cut_us)
+                        meta["shared"] = meta["shared"] if meta["shared"] == "*" else [x for x in meta["shared"] if x >= day]
+                        touched.append([x for x in held if not x.endswith(f"date={day}")])
+        if touched:
+            self.catalog.save()
+        for folders in touched:
+            for x in folders:
+                self.files.delete(x)
+        return len(touched)
 
     def compact(self, measurement: str, *, db: str | None = None, rp: str | None = None) -> None:
         """Rewrites a measurement's files: one row for each series and instant, in the newest types, sorted by series within its date.
 
-        Nothing changes for queries. The new files are complete before they take the old ones' place.
+        Nothing changes for queries, but that they need not coalesce. The new files are a version of their own, and take the
+        place of the others when the catalog says so; what a compaction that was broken off left is in nobody's way.
         """
         db = db or self.default_db
         rp = self.catalog.rp(db, rp)
@@ -472,34 +541,18 @@ class Engine:
         if meta is None:
             raise QueryError(f"measurement not found: {measurement}")
         table = self._table(db, rp, measurement)
-        folder, fields = self._folder(db, rp, measurement), list(meta["fields"])
+        folder, fields = f"{self._folder(db, rp, measurement)}/facts", list(meta["fields"])
+        old = [v["folder"] for v in meta["versions"]]
+        new = f"v{meta['next_version']}"
+        self.files.delete(f"{folder}/{new}")
         rows = table.merged(fields)
-        self.files.delete(f"{folder}/compacting")
-        rows.withColumn("date", F.col("time").cast("date")).hint("rebalance", "date").sortWithinPartitions("date", "series_id", "time").write.partitionBy("date").parquet(f"{folder}/compacting/v0")
-        self.files.delete(f"{folder}/facts")
-        self.files.move(f"{folder}/compacting", f"{folder}/facts")
-        meta["versions"] = [dict(meta["fields"])]
+        rows.withColumn("date", F.col("time").cast("date")).hint("rebalance", "date").sortWithinPartitions("date", "series_id", "time").write.partitionBy("date").parquet(f"{folder}/{new}")
+        meta["versions"] = []
+        add_version(meta, meta["fields"])
+        meta |= {"shared": [], "not_before": None}
         self.catalog.save()
-
-    def _drop_before(self, folder: str, cut_us: int) -> int:
-        from datetime import datetime, timedelta
-
-        cut = datetime(1970, 1, 1) + timedelta(microseconds=cut_us)
-        changed = 0
-        for part in self.files.list(folder):
-            if not part.startswith("date="):
-                continue
-            if part[5:] < cut.date().isoformat():
-                self.files.delete(f"{folder}/{part}")
-                changed = 1
-            elif part[5:] == cut.date().isoformat():
-                new = f"{folder}/.keep-{part[5:]}"
-                old = self.spark.read.parquet(f"{folder}/{part}")
-                old.where(F.unix_micros(F.col("time").cast("timestamp")) >= cut_us).write.mode("overwrite").parquet(new)
-                self.files.delete(f"{folder}/{part}")
-                self.files.move(new, f"{folder}/{part}")
-                changed = 1
-        return changed
+        for v in old:
+            self.files.delete(f"{folder}/{v}")
 
     # Statements
 
@@ -543,8 +596,8 @@ class Engine:
     def _series(self, t, s: Statement) -> DataFrame:
         """Distinct tag sets of a table, those that WHERE leaves."""
         columns = [t.schema.tag_column(x) for x in t.schema.tags]
-        early = None if s.get("where") is None else Conditions(t.schema, self.now()).column(s.get("where"))
-        if isinstance(t, StoredTable) and early is None and not t.meta["tombstones"]:
+        early = Early(on_time=None if s.get("where") is None else Conditions(t.schema, self.now()).column(s.get("where")))
+        if isinstance(t, StoredTable) and early.on_time is None and not t.meta["tombstones"] and t.meta["not_before"] is None:
             return t.series().select(*[F.col(quoted(c)) for c in columns]).distinct() if columns else self.spark.range(1).select()
         return t.rows([], columns, early, Bounds()).select(*[F.col(quoted(c)) for c in columns]).distinct()
 
@@ -572,12 +625,18 @@ class Engine:
         return out
 
     def _do_show_series(self, s: Statement, db: str, rp: str | None) -> list[dict]:
-        found: list[str] = []
-        for t in self._of(s, db, rp):
+        out = None
+        for i, t in enumerate(self._of(s, db, rp)):
             parts = [F.when(F.col(quoted(t.schema.tag_column(k))) != "", F.concat(F.lit(f",{k}="), F.col(quoted(t.schema.tag_column(k))))).otherwise("") for k in sorted(t.schema.tags)]
-            keys = self._series(t, s).select(F.concat(F.lit(t.name), *parts).alias("key")).distinct().orderBy("key")
-            found += [r["key"] for r in keys.toLocalIterator()]
-        rows = [[k] for k in self._sliced(s, found)]
+            keys = self._series(t, s).select(F.lit(i).alias("i"), F.concat(F.lit(t.name), *parts).alias("key")).distinct()
+            out = keys if out is None else out.union(keys)
+        if out is None:
+            return []
+        # a limit reaches Spark, so no more comes to the driver than is shown
+        out = out.orderBy("i", "key")
+        out = out.offset(s.get("offset")) if s.get("offset") else out
+        out = out if s.get("limit") is None else out.limit(s.get("limit"))
+        rows = [[r["key"]] for r in out.toLocalIterator()]
         return [result.table("series", ["key"], rows)] if rows else []
 
     def _do_show_retention_policies(self, s: Statement, db: str, rp: str | None) -> list[dict]:
@@ -689,6 +748,11 @@ def _series_id(name: str) -> Column:
     return F.xxhash64(F.lit(name), F.to_json(F.array_sort(F.map_entries("tags")))).alias("series_id")
 
 
+def _time_of(ns: str) -> Column:
+    """The microsecond of nanoseconds since 1970, rounded down, as a timestamp without zone."""
+    return F.timestamp_micros(F.expr(f"({ns} - pmod({ns}, 1000)) div 1000")).cast("timestamp_ntz")
+
+
 def _kind(t: object) -> str:
     """The language's name of a Spark type."""
     if isinstance(t, BooleanType):

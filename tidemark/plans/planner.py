@@ -18,7 +18,7 @@ from tidemark.operators.limits import limit_rows, limit_series
 from tidemark.operators.transforms import CHUNKED, SECOND, InChunks, InOrder, transform
 from tidemark.plans.ast import Binary, Call, Dur, Field, Fill, Ident, Lit, Measurement, QueryError, Regex, Select, Star, conjuncts
 from tidemark.plans.parser import AGGREGATES, TRANSFORMS
-from tidemark.plans.resolve import Bounds, Conditions, Schema, arithmetic, bounds_of, calls, equal_tags, idents, time_comparison
+from tidemark.plans.resolve import Bounds, Conditions, Early, Schema, arithmetic, bounds_of, calls, equal_tags, idents, time_comparison
 
 
 class Table(Protocol):
@@ -27,8 +27,8 @@ class Table(Protocol):
     name: str
     schema: Schema
 
-    def rows(self, fields: list[str], tags: list[str], early: Column | None, bounds: Bounds) -> DataFrame:
-        """These columns; `early` holds of time and tags only and may be applied before anything is grouped."""
+    def rows(self, fields: list[str], tags: list[str], early: Early, bounds: Bounds) -> DataFrame:
+        """These columns; `early` holds of time and of these tags only and may be applied before anything is grouped."""
 
 
 @dataclass(frozen=True)
@@ -51,12 +51,12 @@ class DerivedTable:
         kinds = {f.name: f.dataType for f in frame.df.schema.fields}
         self.schema = Schema({c: kinds[c] for c in frame.columns}, frame.tags)
 
-    def rows(self, fields: list[str], tags: list[str], early: Column | None, bounds: Bounds) -> DataFrame:
+    def rows(self, fields: list[str], tags: list[str], early: Early, bounds: Bounds) -> DataFrame:
         df = self.frame.df
         if not self.frame.has_time:
             df = df.withColumn("time", instant(F.lit(0).cast("long")))
-        if early is not None:
-            df = df.where(early)
+        if (condition := early.all()) is not None:
+            df = df.where(condition)
         return df.select("time", *[F.col(quoted(c)) for c in [*tags, *fields]])
 
 
@@ -173,16 +173,18 @@ class Planner:
             if i.name in s.mean_fields:
                 need_fields += [f"{part}_{i.name}" for part in ("sum", "count") if f"{part}_{i.name}" not in need_fields]
         conditions = Conditions(s, self.now_ns)
-        early, late = None, None
+        on_series, on_time, late = None, None, None
         for c in conjuncts(q.where):
             column = conditions.column(c)
-            on_series = all((x := s.find(i, "tag")) is None or x[0] != "field" for i in idents(c)) and all((x := s.find(i)) is None or x[0] != "field" for i in idents(c))
-            if on_series:
-                early = column if early is None else early & column
-            else:
+            of_fields = any((x := s.find(i, prefer)) and x[0] == "field" for i in idents(c) for prefer in ("tag", "field"))
+            if of_fields:
                 late = column if late is None else late & column
+            elif any((x := s.find(i)) and x[0] == "time" for i in idents(c)):
+                on_time = column if on_time is None else on_time & column
+            else:
+                on_series = column if on_series is None else on_series & column
         bounds = replace(bounds_of(q.where, self.now_ns), equal=equal_tags(q.where, s))
-        df = table.rows(need_fields, need_tags, early, bounds)
+        df = table.rows(need_fields, need_tags, Early(on_series, on_time), bounds)
         if late is not None:
             df = df.where(late)
         for t in tags:  # a tag that the measurement lacks is empty

@@ -39,6 +39,18 @@ class Schema:
         return ("tag", self.tag_column(n)) if as_tag else None
 
 
+@dataclass(frozen=True)
+class Early:
+    """Conditions that hold of a row whatever its fields are: of tags alone, and of time or time and tags."""
+
+    on_series: Column | None = None
+    on_time: Column | None = None
+
+    def all(self) -> Column | None:
+        both = [c for c in (self.on_series, self.on_time) if c is not None]
+        return both[0] & both[1] if len(both) == 2 else both[0] if both else None
+
+
 def constant_ns(e: object, now_ns: int) -> int | None:
     """Nanoseconds of a constant instant: whole numbers count as epoch nanoseconds, durations as epoch in their unit."""
     if isinstance(e, Lit) and isinstance(e.value, (int, float)) and not isinstance(e.value, bool):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from decimal import Decimal
 
@@ -28,8 +28,11 @@ def _value(v: object, epoch: str | None) -> object:
     return _time(v, epoch) if isinstance(v, datetime) else v
 
 
-def series_of(frame: Frame, epoch: str | None = None) -> Iterator[dict]:
-    """Series of a frame whose rows come in the order of tags; rows stream through the driver, one series is held at a time."""
+def series_of(frame: Frame, epoch: str | None = None, size: int | None = None) -> Iterator[dict]:
+    """Series of a frame whose rows come in the order of tags; rows stream through the driver, one series is held at a time.
+
+    With a size a series comes in pieces of at most so many rows; all but its last say partial.
+    """
     columns = (["time"] if frame.has_time else []) + list(frame.columns)
     now, rows = None, []
 
@@ -41,8 +44,8 @@ def series_of(frame: Frame, epoch: str | None = None) -> Iterator[dict]:
 
     for r in frame.df.toLocalIterator():
         tags = tuple(r[t] for t in frame.tags)
-        if rows and tags != now:
-            yield made(now, rows)
+        if rows and (tags != now or len(rows) == size):
+            yield made(now, rows) | ({"partial": True} if tags == now else {})
             rows = []
         now = tags
         rows.append([_value(r[c], epoch) for c in columns])
@@ -72,7 +75,7 @@ def to_csv(results: list[dict]) -> str:
     return "\n".join(out) + ("\n" if out else "")
 
 
-def to_chunks(results: list[dict]) -> Iterator[str]:
-    """A line of JSON for each statement."""
+def to_chunks(results: Iterable[dict]) -> Iterator[str]:
+    """A line of JSON for each result: a statement's, or a piece of one as Engine.chunks() gives them."""
     for r in results:
         yield json.dumps({"results": [r]}, ensure_ascii=False) + "\n"

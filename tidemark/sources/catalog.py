@@ -14,6 +14,10 @@ HOUR, DAY = UNITS["h"], UNITS["d"]
 SPARK_TYPES = {"float": "double", "integer": "bigint", "unsigned": "decimal(20,0)", "string": "string", "boolean": "boolean"}
 
 
+class CatalogConflict(QueryError):
+    """Another engine has changed the catalog since this one read it."""
+
+
 class FieldTypeConflict(QueryError):
     """A write gives a field a type that its present one can't be widened to."""
 
@@ -44,16 +48,30 @@ def policy(duration_ns: int | None, replication: int = 1, shard: int | None = No
 
 
 class Catalog:
-    """State of an engine. With a path it is read at the start and written by save(); without, it lives in memory."""
+    """State of an engine. With a path it is read at the start and written by save(); without, it lives in memory.
+
+    Each save raises the revision, and is refused if the stored one isn't that which was read: of two engines on
+    one root the second to write learns of the first and can reload().
+    """
 
     def __init__(self, files: Files | None = None, path: str | None = None):
         self.files, self.path = files, path
-        self.state: dict = {"databases": {}, "users": {}, "batch": 0}
-        if path and files.exists(path):
-            self.state = json.loads(files.read(path))
+        self.state: dict = {}
+        self.reload()
+
+    def reload(self) -> None:
+        self.state = {"databases": {}, "users": {}, "batch": 0, "revision": 0, "streams": {}}
+        if self.path:
+            self.files.recover(self.path)
+            if self.files.exists(self.path):
+                self.state |= json.loads(self.files.read(self.path))
 
     def save(self) -> None:
         if self.path:
+            stored = json.loads(self.files.read(self.path))["revision"] if self.files.exists(self.path) else 0
+            if stored != self.state["revision"]:
+                raise CatalogConflict(f"the catalog is at revision {stored}, this engine read {self.state['revision']}")
+            self.state["revision"] += 1
             self.files.write(self.path, json.dumps(self.state, sort_keys=True))
 
     # Databases and policies
@@ -104,9 +122,34 @@ class Catalog:
         self.state["batch"] += 1
         return self.state["batch"]
 
+    # Streams, known by the id that Spark keeps in their checkpoint
+
+    def stream(self, key: str) -> dict:
+        """What is kept of a stream: its number, no two of which are equal, and its last batch."""
+        streams = self.state["streams"]
+        return streams.setdefault(key, {"no": len(streams), "last": -1, "batch": 0, "now": 0})
+
+    def stream_batch(self, key: str, number: int, now: int) -> tuple[int, int, bool]:
+        """(batch, time of writing, whether it ran before) of a stream's micro-batch; the same ones whenever it runs again."""
+        held = self.stream(key)
+        if number < held["last"]:
+            raise QueryError(f"micro-batch {number} of a stream comes after {held['last']}")
+        again = number == held["last"]
+        if not again:
+            held |= {"last": number, "batch": self.next_batch(), "now": now}
+            self.save()
+        return held["batch"], held["now"], again
+
 
 def new_measurement() -> dict:
-    return {"fields": {}, "tags": [], "tombstones": [], "rollups": {}, "mean_fields": [], "view": None, "versions": [{}]}
+    """versions: the folders of facts, a new one where a field's type is widened. shared: dates (or "*" for all) in which a series and
+    instant can have several rows, as several writes had them. not_before: microseconds before which retention has dropped all."""
+    return {"fields": {}, "tags": [], "tombstones": [], "rollups": {}, "mean_fields": [], "view": None, "versions": [{"folder": "v0", "types": {}}], "next_version": 1, "shared": [], "not_before": None}
+
+
+def add_version(meta: dict, types: Mapping[str, str]) -> None:
+    meta["versions"].append({"folder": f"v{meta['next_version']}", "types": dict(types)})
+    meta["next_version"] += 1
 
 
 def merged(meta: dict, fields: Mapping[str, str], tags: list[str]) -> dict:
@@ -115,8 +158,9 @@ def merged(meta: dict, fields: Mapping[str, str], tags: list[str]) -> dict:
     for f, kind in fields.items():
         out["fields"][f] = widen(out["fields"].get(f), kind)
     # files of one version hold one type for each field
-    if any(f in out["versions"][-1] and out["versions"][-1][f] != out["fields"][f] for f in fields):
-        out["versions"].append({})
-    out["versions"][-1] |= {f: out["fields"][f] for f in fields}
+    last = out["versions"][-1]["types"]
+    if any(f in last and last[f] != out["fields"][f] for f in fields):
+        add_version(out, {})
+    out["versions"][-1]["types"] |= {f: out["fields"][f] for f in fields}
     out["tags"] = sorted({*out["tags"], *tags})
     return out

@@ -124,7 +124,7 @@ def parse_lines(lines: DataFrame, precision: str | None = None, now_ns: int = 0)
                     if p is not None:
                         out.append((*p, None))
                 except LineError as e:
-                    out.append((None, None, None, None, None, f"{e}: {line}"[:500]))
+                    out.append((None, None, None, None, None, f"{e}: {line}"))
             yield record_batch(out)
 
     return lines.select("value").mapInArrow(run, POINTS)
