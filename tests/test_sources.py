@@ -123,3 +123,125 @@ def test_stream_feeds_a_view_once(spark, tmp_path):
         got = {s["tags"]["host"]: s["values"][0] for s in e.query("SELECT sum(s), sum(n), last(l) FROM roll GROUP BY host")[0]["series"]}
         odd, even = want(k + 10)
         assert got["a"][:2] == even[:2] and got[""][:2] == odd[:2] and got[""][2] == k + 9 and got["a"][2] == k + 8
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_dates_of_one_write_are_not_coalesced(spark, engine):
+    day = 86400 * S
+    engine.write("\n".join(f"m,h={'ab'[i % 2]},z=x v={i} {i * day // 4}" for i in range(12)))
+    total = "SELECT sum(v) AS s FROM m"
+    plan = plan_of(engine.sql(total, ordered=False))
+    assert "series_id" not in plan.split("Subqueries")[0] and plan.count("Exchange") <= 2 and "Join" not in plan
+    by_tag = plan_of(engine.sql("SELECT sum(v) AS s FROM m WHERE h = 'a' GROUP BY h", ordered=False))
+    assert by_tag.count("BroadcastHashJoin") <= 4 and "SortMergeJoin" not in by_tag and "max_by" not in by_tag
+    engine.write(f"m,h=a,z=x v=100 {day}")  # replaces 4 on the second day, which two writes share now
+    assert engine.catalog.measurement("main", "autogen", "m")["shared"] == ["1970-01-02"]
+    assert "max_by" in plan_of(engine.sql(total, ordered=False))
+    assert "max_by" not in plan_of(engine.sql(f"{total} WHERE time >= {2 * day}", ordered=False))
+    assert values(engine, total) == [[66 + 96]] and values(engine, f"{total} WHERE time >= {day} AND time < {2 * day} AND h = 'a'") == [[106]]
+    engine.compact("m")
+    assert "max_by" not in plan_of(engine.sql(total, ordered=False)) and values(engine, total) == [[66 + 96]]
+    assert values(engine, "SELECT sum(v) FROM m WHERE z = 'x' AND nosuch = '' GROUP BY h") == [[126], [36]]
+
+
+def test_a_micro_batch_that_runs_again_counts_once(spark, tmp_path):
+    """The batch function runs twice with one number, as after a driver that was lost before the checkpoint knew."""
+    from tidemark.streaming import rollup
+
+    clock = iter(range(100 * S, 200 * S, S))
+    e = Engine(spark, f"file://{tmp_path}/root", now=lambda: next(clock))
+    e.write("m,h=a v=0 1000000000")
+    e.query("CREATE MATERIALIZED VIEW mv ON main AS SELECT sum(v) AS s, count(v) AS n INTO roll FROM m GROUP BY time(1h), h")
+    run, ran = rollup.run_stream, []
+    twice = lambda source, batch, checkpoint, **how: run(source, lambda df, k: (batch(df, k), batch(df, k), ran.append(k)), checkpoint, **how)
+    for k, lines in enumerate(("m,h=a v=2 2000000000\nm,h=a v=3", "broken\nm,h=b v=5 3000000000\nm v", "m,h=b v=7 4000000000")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.txt").write_text(lines)
+        rollup.run_stream = twice
+        try:
+            e.ingest_stream(spark.readStream.text(f"file://{tmp_path}/in"), f"file://{tmp_path}/state").awaitTermination()
+        finally:
+            rollup.run_stream = run
+    assert ran == [0, 1, 2]
+    assert values(e, "SELECT sum(s), sum(n) FROM roll GROUP BY h") == [[5, 2], [12, 2]]
+    assert values(e, "SELECT sum(v), count(v) FROM m") == [[17, 5]]
+    assert sorted(r["error"].rsplit(": ", 1)[1] for r in e.rejected().collect()) == ["broken", "m v"]
+
+
+def test_streams_have_numbers_of_their_own(engine):
+    e = engine
+    numbers = {e.catalog.stream(f"stream-{i}")["no"] for i in range(2000)}
+    assert len(numbers) == 2000
+    first = e.catalog.stream_batch("a", 0, 5)
+    assert e.catalog.stream_batch("a", 0, 9) == (first[0], 5, True) and e.catalog.stream_batch("a", 1, 9)[1:] == (9, False)
+    with pytest.raises(Exception, match="comes after"):
+        e.catalog.stream_batch("a", 0, 9)
+
+
+def test_two_engines_on_one_root(spark, engine):
+    from tidemark.sources.catalog import CatalogConflict
+
+    engine.write("m v=1 1")
+    other = Engine(spark, engine.root)
+    engine.write("m v=2 2")
+    with pytest.raises(CatalogConflict):
+        other.write("m v=3 3")
+    other.catalog.reload()
+    other.write("m v=3 3")
+    assert values(other, "SELECT sum(v) FROM m") == [[6]]
+
+
+def test_broken_off_work_leaves_the_old_state(spark, engine, tmp_path):
+    files = engine.files
+    path = f"file://{tmp_path}/c.json"
+    files.write(path, "one")
+    files.write(path, "two")
+    assert files.read(path) == "two" and not files.exists(path + ".old")
+    (tmp_path / "c.json").rename(tmp_path / "c.json.old")  # lost between the two moves
+    (tmp_path / "c.json.new").write_text("three")
+    files.recover(path)
+    assert files.read(path) == "three"
+    engine.write("m,h=a v=1 1000000000")
+    engine.write("m,h=a v=2 1000000000")
+    # a compaction that wrote its files but was lost before the catalog named them
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{engine._folder('main', 'autogen', 'm')}/facts/v1")
+    again = Engine(spark, engine.root)
+    assert values(again, "SELECT v FROM m") == [[1, 2]]
+    again.compact("m")
+    assert values(again, "SELECT v FROM m") == [[1, 2]] and again.files.list(f"{again._folder('main', 'autogen', 'm')}/facts") == ["v1"]
+    again.write("m,h=a w=1i 2000000000")
+    again.write("m,h=a w=1.5 2000000000")  # widens: another version
+    assert values(again, "SELECT v, w FROM m") == [[1, 2, None], [2, None, 1.5]]
+
+
+def test_types_of_one_batch_are_widened_together(engine):
+    engine.write("m v=1i 1000000000\nm v=2u 2000000000\nn x=1i 1000000000\nn x=2.5 2000000000")
+    assert values(engine, "SELECT sum(v) FROM m") == [[3]] and values(engine, "SELECT sum(x) FROM n") == [[3.5]]
+
+
+def test_no_guard_on_what_executors_read(spark, tmp_path):
+    from tidemark.engine import Limits
+
+    e = Engine(spark, f"file://{tmp_path}/root", now=lambda: 100 * S, limits=Limits(points=3))
+    (tmp_path / "lines").write_text("\n".join(f"m v={i} {i}" for i in range(10)))
+    assert e.write_files(f"file://{tmp_path}/lines", precision="s") == 10
+    assert e.write(spark.createDataFrame([(f"m v={i} {i}",) for i in range(20, 30)], "value string"), precision="s") == 10
+    with pytest.raises(WriteError, match="too many points"):
+        e.write("\n".join(f"m v={i} {i}" for i in range(10)))
+
+
+def test_results_in_pieces(engine):
+    import json
+
+    from tidemark.result import to_chunks
+
+    engine.write("\n".join(f"m,h={'ab'[i // 7]} v={i} {i}000000000" for i in range(10)))
+    pieces = list(engine.chunks("SELECT v FROM m GROUP BY h; SHOW SERIES; SELECT v FROM nosuch", size=3))
+    assert [(p["statement_id"], len(p["series"][0]["values"]) if "series" in p else 0, bool(p.get("partial"))) for p in pieces] == [(0, 3, True), (0, 3, True), (0, 1, True), (0, 3, False), (1, 2, False), (2, 0, False)]
+    assert [p["series"][0].get("partial", False) for p in pieces[:4]] == [True, True, False, False]
+    assert len([json.loads(x) for x in to_chunks(iter(pieces))]) == 6
+    series = [s["values"] for s in engine.query("SHOW SERIES LIMIT 1 OFFSET 1")[0]["series"]]
+    assert series == [[["m,h=b"]]]

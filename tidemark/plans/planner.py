@@ -369,9 +369,9 @@ class Planner:
         time = "time" if has_time else None
         df = limit_rows(df, tags, time, q.descending, q.limit, q.offset)
         df = limit_series(df, tags, q.slimit, q.soffset)
-        if self.ordered and has_time:
-            t = F.col("time").desc() if q.descending else F.col("time").asc()
-            df = df.orderBy(*[F.col(quoted(c)) for c in tags], t)
+        if self.ordered and (has_time or tags):
+            t = [] if not has_time else [F.col("time").desc() if q.descending else F.col("time").asc()]
+            df = df.orderBy(*[F.col(quoted(c)) for c in tags], *t)
         return Frame(name, df, tuple(tags), tuple(items), has_time, q.descending)
 
 
