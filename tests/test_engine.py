@@ -99,6 +99,36 @@ def test_transforms(make):
     assert [r[1] for r in out(make(v((5, 1), (3, 2), (6, 3))), "SELECT non_negative_difference(v) FROM m")] == [3]
 
 
+def test_transforms_of_long_series_over_hours_and_blocks(make, monkeypatch):
+    from tidemark.operators import transforms
+
+    monkeypatch.setattr(transforms, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(transforms, "SLICE_US", 7_000_000)
+    rows = [(t, {"host": h}, {"v": float((t * 7 + len(h)) % 13) if t % 11 else None}) for h in ("a", "bb") for t in (*range(1, 60), 200, 201, 500)]
+    e = make(rows)
+    got = out(e, "SELECT moving_average(v, 4), difference(v), cumulative_sum(v), elapsed(v, 1s), moving_average(v, 1) FROM m GROUP BY host")
+    for h in ("a", "bb"):
+        mine = sorted((t, f["v"]) for t, g, f in rows if g["host"] == h)
+        want, total = [], 0
+        for i, (t, x) in enumerate(mine):
+            total += x or 0
+            last = [y for _, y in mine[max(0, i - 3) : i + 1]]
+            before = mine[i - 1] if i else (None, None)
+            r = [sum(last) / 4 if len(last) == 4 and None not in last else None, x - before[1] if x is not None and before[1] is not None else None, total, t - before[0] if i else None, x]
+            want.append([t, *r])
+        assert got[h,] == [pytest.approx(w) if None not in w else [w[0], *[None if y is None else pytest.approx(y) for y in w[1:]]] for w in want]
+    assert [r[1] for r in out(make(v((1, 1), (2, 5000), (6, 9000))), "SELECT moving_average(v, 2) FROM m")] == [1.5, 4]
+
+
+def test_a_very_long_gap(make, monkeypatch):
+    from tidemark.operators import fill
+
+    e = make(v((7, 1), (9, 100_001)))
+    assert len(out(e, "SELECT mean(v) FROM m GROUP BY time(1s) fill(0)")) == 100_001
+    monkeypatch.setattr(fill, "STRETCH", 3)
+    assert [r[1] for r in out(make(v((7, 1), (9, 9))), "SELECT mean(v) FROM m WHERE time >= 0s AND time < 14s GROUP BY time(1s) fill(previous)")] == [None, *[7] * 8, *[9] * 5]
+
+
 def test_limits(make):
     e = make([*v((1, 1), (2, 2), (3, 3), host="a"), *v((4, 1), (5, 2), (6, 3), host="b")])
     assert out(e, "SELECT mean(v) FROM m GROUP BY time(1s), host fill(none) LIMIT 2") == {("a",): [[1, 1], [2, 2]], ("b",): [[1, 4], [2, 5]]}

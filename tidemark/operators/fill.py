@@ -10,6 +10,10 @@ from tidemark.operators.aggregates import quoted
 from tidemark.plans.ast import Fill
 
 
+#: Buckets of a gap that one row unfolds into at once.
+STRETCH = 1000
+
+
 def fill_gaps(df: DataFrame, tags: list[str], key: str, items: list[str], step: int, lo: int | None, hi: int | None, fill: Fill, linear_compat: bool = False) -> DataFrame:
     """Adds the buckets that a series lacks, with its items filled.
 
@@ -37,8 +41,11 @@ def fill_gaps(df: DataFrame, tags: list[str], key: str, items: list[str], step:
     out = df.withColumns(own)
     first = k if lo is None else F.least(F.lit(lo), k)
     last = k if hi is None else F.greatest(F.lit(hi), k)
-    grid = F.sequence(F.when(F.col("__prev").isNull(), first).otherwise(k), F.coalesce(F.col("__next") - F.lit(step), last), F.lit(step).cast("long"))
-    out = out.withColumn("__g", F.explode(grid))
+    # in two steps, as a gap of many buckets would be one very long array in a row
+    wide = step * STRETCH
+    out = out.withColumn("__from", F.when(F.col("__prev").isNull(), first).otherwise(k)).withColumn("__to", F.coalesce(F.col("__next") - F.lit(step), last))
+    out = out.withColumn("__from", F.explode(F.sequence("__from", "__to", F.lit(wide).cast("long"))))
+    out = out.withColumn("__g", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + F.lit(wide - step), F.col("__to")), F.lit(step).cast("long"))))
     real, behind = F.col("__g") == k, F.col("__g") > k
 
     def filled(i: int, name: str) -> Column:

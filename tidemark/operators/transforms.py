@@ -9,10 +9,6 @@ from tidemark.operators.aggregates import quoted
 from tidemark.plans.ast import QueryError
 
 SECOND = 1_000_000_000
-#: Transforms that need the row before, or sums of what came before.
-CHUNKED = ("derivative", "non_negative_derivative", "difference", "non_negative_difference", "elapsed", "cumulative_sum")
-
-
 class InOrder:
     """Rows of each series in the order of a column: one partition of a window for each."""
 
@@ -29,26 +25,34 @@ class InOrder:
         return F.sum(x).over(self.window.rowsBetween(Window.unboundedPreceding, 0))
 
 
+#: Microseconds of a slice of time, and rows of a block at least.
+SLICE_US, BLOCK_ROWS = 3_600_000_000, 100_000
+
+
 class InChunks(InOrder):
-    """The same for one series that may be very long: rows in windows of a day, which know where the days before ended.
+    """The same for series that may be very long: rows in windows of an hour of a series, which know where the hours before ended.
 
-    Only one row a day goes through a window of its own; the rows themselves are ordered within their day.
+    Only one row an hour and series goes through a window of the whole series; the rows themselves are ordered within their hour.
     """
 
-    def __init__(self, order: str):
-        self.window = Window.partitionBy("__day").orderBy(F.col(quoted(order)))
+    def __init__(self, tags: list[str], order: str):
+        self.by = [*(F.col(quoted(t)) for t in tags), F.col("__slice")]
+        self.window = Window.partitionBy(*self.by).orderBy(F.col(quoted(order)))
 
     @staticmethod
-    def prepare(df: DataFrame, order: str, numbers: dict[str, Column]) -> DataFrame:
-        """Adds __day, and for each number its last value and its sum before that day."""
-        d = df.withColumn("__day", F.col(quoted(order)).cast("date")).withColumns({f"__n_{k}": c for k, c in numbers.items()})
+    def prepare(df: DataFrame, tags: list[str], order: str, numbers: dict[str, Column]) -> DataFrame:
+        """Adds __slice, the rows of the series before it, and for each number its last value and its sum before it."""
+        us = F.unix_micros(F.col(quoted(order)).cast("timestamp"))
+        d = df.withColumn("__slice", F.floor(us / SLICE_US)).withColumns({f"__n_{k}": c for k, c in numbers.items()})
         ends = [F.max_by(f"__n_{k}", quoted(order)).alias(f"__end_{k}") for k in numbers]
         sums = [F.sum(f"__n_{k}").alias(f"__of_{k}") for k in numbers]
-        w = Window.orderBy("__day")
+        by = [*(F.col(quoted(t)) for t in tags), F.col("__slice")]
+        w = (Window.partitionBy(*by[:-1]) if tags else Window.partitionBy()).orderBy("__slice")
         earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-        days = d.groupBy("__day").agg(*ends, *sums)
-        held = days.select("__day", *[F.lag(f"__end_{k}").over(w).alias(f"__before_{k}") for k in numbers], *[F.sum(f"__of_{k}").over(earlier).alias(f"__sum_{k}") for k in numbers])
-        return d.join(held, "__day").drop(*[f"__n_{k}" for k in numbers])
+        parts = d.groupBy(*by).agg(*ends, *sums, F.count(F.lit(1)).alias("__rows"))
+        carried = [F.lag(f"__end_{k}").over(w).alias(f"__before_{k}") for k in numbers] + [F.sum(f"__of_{k}").over(earlier).alias(f"__sum_{k}") for k in numbers]
+        held = parts.select(*by, *carried, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__rows_before"))
+        return d.join(held, [*tags, "__slice"]).drop(*[f"__n_{k}" for k in numbers])
 
     def before(self, x: Column, key: str) -> Column:
         return F.when(F.row_number().over(self.window) == 1, F.col(f"__before_{key}")).otherwise(F.lag(x).over(self.window))
@@ -59,6 +63,21 @@ class InChunks(InOrder):
         return F.coalesce(own + carried, own, carried)
 
 
+class InBlocks(InOrder):
+    """Rows of series that may be very long in blocks of about equal size, each with the last rows of the block before it, for functions of the last n rows."""
+
+    def __init__(self, tags: list[str]):
+        self.window = Window.partitionBy(*[F.col(quoted(t)) for t in tags], F.col("__block")).orderBy("__at")
+
+    @staticmethod
+    def prepare(df: DataFrame, chunks: InChunks, n: int) -> DataFrame:
+        """From rows that InChunks.prepare() has numbered: adds __block and __at, and the n - 1 rows before each block as rows that are carried into it."""
+        size = max(BLOCK_ROWS, 4 * n)
+        df = df.withColumn("__at", F.col("__rows_before") + F.row_number().over(chunks.window) - 1).withColumn("__own", F.floor(F.col("__at") / size))
+        into = F.when(F.col("__at") % size >= size - (n - 1), F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))
+        return df.withColumn("__block", F.explode(into))
+
+
 def transform(name: str, x: Column, us: Column, rows: InOrder, *, key: str = "", unit_ns: int = SECOND, n: int = 1) -> Column:
     """The transform of x over rows in the order of time; us is that time in microseconds, key names x for `rows`."""
     seconds = (us - rows.before(us, "us")) / F.lit(1e6)

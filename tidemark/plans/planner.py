@@ -15,7 +15,7 @@ from tidemark.operators.aggregates import ONE_FIELD, aggregate, mean_of_rollup,
 from tidemark.operators.buckets import Buckets, instant, micros
 from tidemark.operators.fill import fill_gaps
 from tidemark.operators.limits import limit_rows, limit_series
-from tidemark.operators.transforms import CHUNKED, SECOND, InChunks, InOrder, transform
+from tidemark.operators.transforms import SECOND, InBlocks, InChunks, InOrder, transform
 from tidemark.plans.ast import Binary, Call, Dur, Field, Fill, Ident, Lit, Measurement, QueryError, Regex, Select, Star, conjuncts
 from tidemark.plans.parser import AGGREGATES, TRANSFORMS
 from tidemark.plans.resolve import Bounds, Conditions, Early, Schema, arithmetic, bounds_of, calls, equal_tags, idents, time_comparison
@@ -336,17 +336,27 @@ class Planner:
         """Transforms of raw fields; rows where all of them are null go."""
         s = table.schema
         conditions = Conditions(s, self.now_ns)
-        found = [c for f in fields for c in calls(f.expr)]
-        order = InOrder(tag_columns, "time")
+        found = list(dict.fromkeys(c for f in fields for c in calls(f.expr)))
         keys = {name: f"x{i}" for i, name in enumerate(sorted({self.field_of(c, s) for c in found}))}
-        if not tags and all(c.name in CHUNKED for c in found):
-            order = InChunks("time")
-            rows = InChunks.prepare(rows, "time", {"us": micros(F.col("time"))} | {k: F.col(quoted(name)) for name, k in keys.items()})
+        columns = {c: f"__c{i}" for i, c in enumerate(found)}
+        order: InOrder = InChunks(tag_columns, "time")
+        rows = InChunks.prepare(rows, tag_columns, "time", {"us": micros(F.col("time"))} | {k: F.col(quoted(name)) for name, k in keys.items()})
+
+        def computed(c: Call, how: InOrder) -> Column:
+            name = self.field_of(c, s)
+            return self.transform(c, how, micros(F.col("time")), lambda _: F.col(quoted(name)), keys[name])
+
+        averages = [c for c in found if c.name == "moving_average"]
+        rows = rows.withColumns({columns[c]: computed(c, order) for c in found if c not in averages})
+        if averages:
+            blocks = InBlocks(tag_columns)
+            widths = [c.args[1].value for c in averages if len(c.args) == 2 and isinstance(c.args[1], Lit) and isinstance(c.args[1].value, int)]
+            rows = InBlocks.prepare(rows, order, max([1, *widths]))
+            rows = rows.withColumns({columns[c]: computed(c, blocks) for c in averages}).where("__block = __own")
 
         def value(e: object) -> Column:
             if isinstance(e, Call):
-                name = self.field_of(e, s)
-                return self.transform(e, order, micros(F.col("time")), lambda _: F.col(quoted(name)), keys[name])
+                return F.col(columns[e])
             if isinstance(e, Binary) and e.op in "+-*/%":
                 return arithmetic(e.op, value(e.left), value(e.right))
             return conditions.value(e)
