@@ -245,3 +245,42 @@ def test_results_in_pieces(engine):
     assert len([json.loads(x) for x in to_chunks(iter(pieces))]) == 6
     series = [s["values"] for s in engine.query("SHOW SERIES LIMIT 1 OFFSET 1")[0]["series"]]
     assert series == [[["m,h=b"]]]
+
+
+def test_simple_lines_are_parsed_as_python_does(spark):
+    import random
+
+    from tidemark.sources import line_protocol
+
+    r = random.Random(3)
+    names = ["m", "cpu", "a-b", "é", "#x", "m\\ x", "a=b", "t\tx", ""]
+    parts = ["h", "host", "h", "k\\=x", "#", "ü"]
+    vals = ["1i", "+007i", "-0i", "-12i", "999999999999999999i", "9999999999999999999i", "1u", "1", "1.", ".5", "-2.5e-3", "+1E5", "1e400", "t", "TRUE", "False", "f", "tRUE", "x", "", '"s t"', '"a\\"b"', "nan", "1_0", "٣"]
+    stamps = ["", " 5", " -5", " +7", " 999999999999999999", " 9999999999999999999", " x", "  12", " 5 ", " 1 2"]
+    pick = r.choice
+    lines = ["", "  ", "# c", "m", "m v", "m v=1 1\r", " m v=1", "m,h v=1", "m,h= v=1", "m,=x v=1", "m, v=1", "m v=1,", "m v=1,v=2 3", "m,a=1,a=2 v=1i 3"]
+    lines += [pick(names) + "".join(f",{pick(parts)}={pick(['a', 'b c', 'x', '1'])}" for _ in range(r.randrange(3))) + " " + ",".join(f"{pick(parts)}={pick(vals)}" for _ in range(r.randint(1, 3))) + pick(stamps) for _ in range(1500)]
+    lines += [f"cpu,host=h{i} v={i}i,w={i}.5 {i}" for i in range(300)]
+    for precision in (None, "s"):
+        want = []
+        for i, line in enumerate(lines):
+            try:
+                p = line_protocol.parse_line(line, precision, 77)
+            except LineError as e:
+                want.append((i, "error"))
+                continue
+            if p is not None:
+                m, tags, fields, types, ns = p
+                want.append((i, m, tags, {k: float(v) if types[k] == "float" else v for k, v in fields.items()}, types, ns))
+        df = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+        got = []
+        for x in line_protocol.parse_lines(df, precision, 77).collect():
+            got.append((x["place"], "error") if x["error"] else (x["place"], x["measurement"], x["tags"], {k: float(v) if x["types"][k] == "float" else v for k, v in x["fields"].items()}, x["types"], x["time_ns"]))
+        assert sorted(got, key=lambda g: g[0]) == want
+    simple, others = line_protocol._simple_points(df.selectExpr("value line", "monotonically_increasing_id() place"), None, 0)
+    assert simple.count() > 300 and simple.count() + others.count() == len(lines)
+
+
+def test_later_lines_win_whichever_way_they_are_parsed(engine):
+    engine.write('m v=1,s="a b" 1000000000\nm v=2 1000000000\nn v=2 1000000000\nn v=1,s="x" 1000000000')
+    assert values(engine, "SELECT v, s FROM m") == [[1, 2, "a b"]] and values(engine, "SELECT v, s FROM n") == [[1, 1, "x"]]

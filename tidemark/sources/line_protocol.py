@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.durations import scaled
+from tidemark.functions.durations import PRECISIONS, scaled
 
 #: Columns of parsed points. Field values are kept as text beside their type's name; seq is the order of writing.
 POINTS = "measurement string, tags map<string,string>, fields map<string,string>, types map<string,string>, time_ns bigint, error string"
@@ -112,22 +112,58 @@ def record_batch(points: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([list(p[i].items()) if isinstance(p[i], dict) else p[i] for p in points], t) for i, t in enumerate(types)], names=names)
 
 
+# lines without escapes, quotes and repeated spaces: a key, fields that are numbers or booleans, and a timestamp of a size that holds
+_NAME = r'[^ ,="\\\t\r\n]+'
+_VALUE = r"(?:[+-]?[0-9]{1,18}i|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|" + "|".join(sorted(_TRUE | _FALSE)) + ")"
+_SIMPLE = rf"^(?!#){_NAME}(?:,{_NAME}={_NAME})* {_NAME}={_VALUE}(?:,{_NAME}={_VALUE})*(?: [+-]?[0-9]{{1,18}})?$"
+
+
+def _simple_points(lines: DataFrame, precision: str | None, now_ns: int) -> tuple[DataFrame, DataFrame]:
+    """(points, other lines): points of the simple lines whose keys differ."""
+    parts = F.split("line", " ")
+    item = lambda x, n: F.substring_index(x, "=", n)
+    key, fields = F.split(F.get(parts, F.lit(0)), ","), F.split(F.get(parts, F.lit(1)), ",")
+    held = lines.withColumn("simple", F.col("line").rlike(_SIMPLE)).withColumn("tag_items", F.when(F.col("simple"), F.slice(key, F.lit(2), F.size(key)))).withColumn("items", F.when(F.col("simple"), fields))
+    differ = lambda items: F.size(F.array_distinct(F.transform(items, lambda x: item(x, 1)))) == F.size(items)
+    kind = lambda x: F.when(x.endswith("i"), "integer").when(x.rlike("^[tTfF]"), "boolean").otherwise("float")
+    text = lambda x: F.when(x.endswith("i"), F.rtrim(x, F.lit("i")).try_cast("bigint").cast("string")).when(x.rlike("^[tT]"), "true").when(x.rlike("^[fF]"), "false").otherwise(x)
+    stamp = F.get(parts, F.lit(2))
+    ns = F.when(stamp.isNull(), F.lit(now_ns).cast("long")).otherwise(F.try_multiply(stamp.try_cast("bigint"), F.lit(PRECISIONS.get(precision or "ns", 1)).cast("long")))
+    whole = F.coalesce(F.col("simple") & differ(F.col("tag_items")) & differ(F.col("items")) & ns.isNotNull(), F.lit(False))
+    of = lambda items, keys, values: F.map_from_arrays(F.transform(items, keys), F.transform(items, values))
+    out = held.where(whole).select(
+        F.get(key, F.lit(0)).alias("measurement"), of(F.col("tag_items"), lambda x: item(x, 1), lambda x: item(x, -1)).alias("tags"), of(F.col("items"), lambda x: item(x, 1), lambda x: text(item(x, -1))).alias("fields"),
+        of(F.col("items"), lambda x: item(x, 1), lambda x: kind(item(x, -1))).alias("types"), ns.alias("time_ns"), F.lit(None).cast("string").alias("error"), "place",
+    )
+    return out, held.where(~whole).select("line", "place")
+
+
 def parse_lines(lines: DataFrame, precision: str | None = None, now_ns: int = 0) -> DataFrame:
-    """Points of a frame with a string column `value`, a line each; see POINTS. Lines that can't be parsed have an error only."""
+    """Points of a frame with a string column `value`, a line each; see POINTS, and place, the order of the lines. Lines that can't be parsed have an error only.
+
+    Lines without escapes and strings, most of what there is, are parsed by Spark's own expressions; the
+    others go to Python. Both branches read the lines, which costs less than passing all of them through Python.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for line in batch.column("value").to_pylist():
+            out, places = [], []
+            for line, place in zip(batch.column("line").to_pylist(), batch.column("place").to_pylist(), strict=True):
                 try:
-                    p = parse_line(line or "", precision, now_ns)
-                    if p is not None:
-                        out.append((*p, None))
+                    p = parse_line(line, precision, now_ns)
+                    if p is None:
+                        continue
+                    out.append((*p, None))
                 except LineError as e:
                     out.append((None, None, None, None, None, f"{e}: {line}"))
-            yield record_batch(out)
-
-    return lines.select("value").mapInArrow(run, POINTS)
+                places.append(place)
+            points = record_batch(out)
+            yield pa.RecordBatch.from_arrays([*points.columns, pa.array(places, pa.int64())], names=[*points.schema.names, "place"])
+
+    numbered = lines.select(F.btrim(F.col("value"), F.lit("\r\n ")).alias("line"), F.monotonically_increasing_id().alias("place"))
+    numbered = numbered.where("line is not null and line <> '' and not startswith(line, '#')")
+    simple, others = _simple_points(numbered, precision, now_ns)
+    return simple.unionByName(others.mapInArrow(run, POINTS + ", place bigint"))
 
 
 def columnar_points(batches: DataFrame, now_ns: int) -> DataFrame:
