@@ -259,11 +259,12 @@ class Engine:
         don't stop the stream; see rejected().
         """
 
-        def batch(df: DataFrame, number: int) -> None:
-            n, now, again = self.catalog.stream_batch(self._stream_id(checkpoint), number, self.now())
-            self._write(line_protocol.parse_lines(df, precision, now), db, rp, guard=False, batch=n, now=now, again=again, rejects=f"{self.root}/rejected")
+        return rollup.run_stream(lines, lambda df, number: self.write_micro_batch(df, self._stream_id(checkpoint), number, db=db, rp=rp, precision=precision), checkpoint, once=once)
 
-        return rollup.run_stream(lines, batch, checkpoint, once=once)
+    def write_micro_batch(self, lines: DataFrame, stream: str, number: int, *, db: str | None = None, rp: str | None = None, precision: str | None = None) -> int:
+        """Writes one micro-batch of a stream that is known by a name of its own; the same number again is the same batch."""
+        n, now, again = self.catalog.stream_batch(stream, number, self.now())
+        return self._write(line_protocol.parse_lines(lines, precision, now), db, rp, guard=False, batch=n, now=now, again=again, rejects=f"{self.root}/rejected")
 
     def rejected(self) -> DataFrame:
         """Lines that streams could not parse: error (what is wrong, and the line) and batch."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.engine import Engine
+from tidemark.plans.ast import QueryError
 from tidemark.sources.fsio import scratch_folder
 from tidemark.sources.line_protocol import columnar_points, encode, parse_lines
 from tidemark.streaming.rollup import windowed_counts
@@ -226,7 +227,7 @@ def _retention(spark: SparkSession, sf_dir: str, where: str = "WHERE time < '202
 def _csv(spark: SparkSession, sf_dir: str, where: str = BOUND) -> DataFrame:
     from tidemark.result import to_csv
 
-    text = to_csv(engine(spark, sf_dir).query(f"SELECT mean(value) AS m FROM events {where} GROUP BY time(12h), event_type", epoch="s"))
+    text = to_csv(engine(spark, sf_dir).query(f"SELECT count(value) AS n FROM events {where} GROUP BY time(12h), event_type", epoch="s"))
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line int, text string")
 
 
@@ -268,6 +269,88 @@ def _watermarked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
+def _qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One measurement in two retention policies, read by its qualified name."""
+    e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
+    e.query("CREATE DATABASE stored; CREATE RETENTION POLICY long ON stored DURATION INF REPLICATION 1")
+    rows = e.sql("SELECT value, event_id FROM events GROUP BY event_type, user_id", ordered=False)
+    e.write_points(parse_lines(encode_rows(rows, "ev")), db="stored", rp="long")
+    e.write("ev,event_type=click,user_id=1 value=1 1704412800000000000", db="stored")
+    texts = ("SELECT sum(value) AS s, count(value) AS n FROM stored.long.ev GROUP BY event_type", "SELECT sum(value) AS s, count(value) AS n FROM stored..ev GROUP BY event_type")
+    long, default = (e.sql(t, ordered=False) for t in texts)
+    return long.select(F.lit("long").alias("rp"), "*").union(default.select(F.lit("autogen").alias("rp"), "*"))
+
+
+def _precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose timestamps are whole seconds, each event a series of its own."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = ev.select(F.concat(F.lit("ev,id="), F.col("event_id").cast("string"), F.lit(" value="), F.col("value").cast("string"), F.lit(" "), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")).alias("value"))
+    e = Engine(spark, scratch_folder(spark, "engine"), now=lambda: NOW_NS)
+    e.write(lines, precision="s")
+    return e.sql("SELECT value FROM ev GROUP BY id", ordered=False)
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result in pieces of seven rows, put together again."""
+    pieces = list(engine(spark, sf_dir).chunks("SELECT count(value) AS n FROM events GROUP BY time(1d), event_type", epoch="s", size=7))
+    if any(len(p["series"][0]["values"]) > 7 for p in pieces):
+        raise AssertionError("a piece is too large")
+    return spark.createDataFrame([(x["tags"]["event_type"], *r) for p in pieces for x in p["series"] for r in x["values"]], "event_type string, epoch long, n long")
+
+
+def _raw_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events_as_they_are")
+    return engine(spark, sf_dir).raw_sql("SELECT event_type, count(*) AS n FROM events_as_they_are GROUP BY event_type")
+
+
+#: Statements that are refused, each for another reason.
+REFUSED = (
+    "SELECT value FROM events GROUP BY time(1h)", "SELECT value & 1 FROM events", "SELECT value | 1 FROM events", "SELECT mean(value) FROM events nonsense", "SELECT mean(*) FROM events",
+    "SELECT top(value, 3) FROM events", "SELECT derivative(mean(value)) FROM events", "SELECT mean(value), value FROM events", "SELECT value FROM nowhere.events", "CREATE RETENTION POLICY p ON main DURATION 1m REPLICATION 1",
+)
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether statements are refused, and a write into a view's destination with them."""
+    e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
+
+    def tried(what: Callable[[], object]) -> bool:
+        try:
+            what()
+        except QueryError:
+            return True
+        return False
+
+    e.query("CREATE MATERIALIZED VIEW v ON main AS SELECT sum(value) AS s INTO roll FROM events GROUP BY time(1h)")
+    out = [(x, tried(lambda x=x: e.query(x))) for x in REFUSED]
+    return spark.createDataFrame([*out, ("write roll", tried(lambda: e.write("roll s=1 1"))), ("write other", tried(lambda: e.write("other s=1 1")))], "statement string, refused boolean")
+
+
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database with written measurements, dropped and made anew: nothing of it is left."""
+    e = _stored(spark, sf_dir)
+    before = len(e.query("SHOW MEASUREMENTS", db="stored")[0]["series"][0]["values"])
+    e.query("DROP DATABASE stored; CREATE DATABASE stored")
+    left = len(e.files.list(f"{e.root}/stored"))
+    return spark.createDataFrame([(before, len(e.query("SHOW MEASUREMENTS", db="stored")[0].get("series", [])), left, e.sql("SELECT value FROM ev", db="stored").count())], "before int, after int, files int, rows long")
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A micro-batch of all events that runs twice, as after a failure: facts and the view that it feeds count once; so do lines without a time."""
+    e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
+    rows = e.sql("SELECT value, event_id FROM events GROUP BY event_type, user_id", ordered=False)
+    e.write("ev,event_type=none,user_id=0 value=0 0")
+    e.query("CREATE MATERIALIZED VIEW v ON main AS SELECT sum(value) AS s, count(value) AS n INTO roll FROM ev GROUP BY time(1d), event_type")
+    lines = encode_rows(rows, "ev").withColumn("value", F.when(F.col("value").contains("event_id=3i"), F.regexp_replace("value", r" \d+$", "")).otherwise(F.col("value")))
+    for _ in range(2):
+        e.write_micro_batch(lines, "a stream", 0)
+    e.now = lambda: NOW_NS + 1
+    e.write_micro_batch(spark.createDataFrame([("ev,event_type=late,user_id=0 value=5 86400000000000",), ("not a line",)], "value string"), "a stream", 1)
+    facts = e.sql("SELECT sum(value) AS s, count(value) AS n FROM ev WHERE time > 0 GROUP BY event_type", ordered=False)
+    view = e.sql("SELECT sum(s) AS s, sum(n) AS n FROM roll GROUP BY event_type", ordered=False)
+    return facts.select(F.lit("facts").alias("of"), "*").union(view.select(F.lit("view").alias("of"), "*")).union(e.rejected().select(F.lit("rejected"), F.regexp_extract("error", "not a line", 0), F.lit(0.0), F.lit(1).cast("long")))
+
+
 QUERIES: dict[str, Query] = {
     # the flagship: hourly means on a full grid, every series for itself
     "flagship": Query(
@@ -324,6 +407,10 @@ QUERIES: dict[str, Query] = {
         "SELECT time, event_type, x FROM (SELECT ts AS time, event_type, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS x FROM events) WHERE x IS NOT NULL", ("x",),
     ),
     "cumulative_sum_raw": Query(f"SELECT cumulative_sum(value) AS x FROM events WHERE {RANGE} GROUP BY event_type", f"SELECT ts AS time, event_type, sum(value) OVER (PARTITION BY event_type ORDER BY ts) AS x FROM events WHERE {SQL_RANGE}", ("x",)),
+    "moving_average_raw": Query(
+        "SELECT moving_average(value, 10) AS x, cumulative_sum(event_id) AS c FROM events GROUP BY event_type",
+        "SELECT time, event_type, x, c FROM (SELECT ts AS time, event_type, CASE WHEN count(value) OVER w = 10 THEN avg(value) OVER w END AS x, CAST(sum(event_id) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS 9 PRECEDING))", ("x",),
+    ),
     "untagged_raw": Query(
         "SELECT difference(value) AS d, cumulative_sum(value) AS c, elapsed(value, 1s) AS e, derivative(value, 1h) AS r, non_negative_difference(event_id) AS i FROM events WHERE event_type = 'click'",
         """SELECT time, d, c, e, r, i FROM (SELECT ts AS time, value - lag(value) OVER w AS d, sum(value) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS e,
@@ -347,6 +434,7 @@ QUERIES: dict[str, Query] = {
         f"""WITH b AS (SELECT {bucket('6 hours')} AS time, count(value) AS n FROM events WHERE user_id = 3 GROUP BY ALL)
         SELECT t.time, coalesce(b.n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(time) FROM b), (SELECT max(time) FROM b), INTERVAL '6 hours')) AS time) t LEFT JOIN b USING (time)""",
     ),
+    "fill_without_group": Query("SELECT mean(value) AS m, count(value) AS n FROM events WHERE event_type = 'click' fill(0)", "SELECT avg(value) AS m, count(value) AS n FROM events WHERE event_type = 'click'", ("m",)),
     "fill_descending_limit": Query(
         f"SELECT mean(value) AS m FROM events WHERE {GAPPY} GROUP BY time(10m), event_type fill(null) ORDER BY time DESC LIMIT 7",
         f"WITH {GRID} SELECT time, event_type, m FROM j QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY time DESC) <= 7", ("m",),
@@ -370,6 +458,9 @@ QUERIES: dict[str, Query] = {
     # sources
     "source_regex": Query("SELECT count(*) AS n FROM /(events|orders)/", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders"),
     "source_list": Query("SELECT max(value) AS a FROM events, events", "SELECT 'events' AS name, max(value) AS a FROM events UNION ALL SELECT 'events', max(value) FROM events", ("a",)),
+    "source_pair": Query("SELECT count(*) AS n FROM events, orders", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders"),
+    "source_qualified": Query(_qualified, f"SELECT 'long' AS rp, event_type, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL UNION ALL SELECT 'autogen', 'click', 1.0::DOUBLE, 1", ("s",)),
+    "source_raw_sql": Query(_raw_sql, "SELECT event_type, count(*) AS n FROM events GROUP BY ALL"),
     "source_missing": Query("SELECT value FROM nosuch", "SELECT TIMESTAMP '2000-01-01' AS time WHERE false"),
     "subquery": Query("SELECT max(m) AS x FROM (SELECT mean(value) AS m FROM events GROUP BY time(1d), event_type fill(none)) GROUP BY event_type", f"{DAILY} SELECT event_type, max(m) AS x FROM d GROUP BY event_type", ("x",)),
     "subquery_nested": Query("SELECT sum(x) AS t FROM (SELECT max(m) AS x FROM (SELECT mean(value) AS m FROM events GROUP BY time(1h), event_type fill(none)) GROUP BY time(1d) fill(none))", f"SELECT sum(x) AS t FROM (SELECT {bucket('1 day', 'time')} AS d, max(m) AS x FROM (SELECT {bucket('1 hour')} AS time, event_type, avg(value) AS m FROM events GROUP BY ALL) GROUP BY ALL)", ("t",)),
@@ -393,7 +484,15 @@ QUERIES: dict[str, Query] = {
     "materialized_view_stream": Query(_streamed, f"SELECT {bucket('1 day')} AS time, event_type, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL", ("s",)),
     "continuous_query": Query(_continuous, f"SELECT {bucket('1 hour')} AS time, event_type, avg(value) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-05 09:00:00' AND ts < TIMESTAMP '2024-01-05 12:00:00' GROUP BY ALL", ("m",)),
     "stream_ingest": Query(_stream_ingest, f"SELECT event_type, sum(value) AS s, count(event_id) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL", ("s",)),
-    "stream_windows": Query(_watermarked),
+    # a window is final once the watermark, an hour behind the last event, has passed it
+    "stream_windows": Query(_watermarked, f"SELECT {bucket('1 day')} AS time, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2 HAVING {bucket('1 day')} + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)", ("total",)),
+    "stream_replay": Query(
+        _replayed,
+        "WITH x AS (SELECT event_type, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL UNION ALL SELECT 'late', 5.0, 1) SELECT 'facts' AS of, * FROM x UNION ALL SELECT 'view', * FROM x UNION ALL SELECT 'rejected', 'not a line', 0.0, 1", ("s",),
+    ),
+    "precision_seconds": Query(_precise, "SELECT date_trunc('second', ts) AS time, CAST(event_id AS VARCHAR) AS id, value FROM events", ("value",)),
+    "drop_database_written": Query(_dropped, "SELECT 1 AS before, 0 AS after, 0 AS files, 0::BIGINT AS rows"),
+    "refused": Query(_refused, "SELECT unnest([" + ", ".join("'" + x + "'" for x in (*REFUSED, "write roll")) + "]) AS statement, true AS refused UNION ALL SELECT 'write other', false"),
     "export_import": Query(_export_import, f"SELECT ts AS time, event_type, {NEW_VALUE} AS value, event_id FROM events WHERE {SQL_RANGE}", ("value",)),
     "columnar_source": Query(_columnar, "SELECT event_type, sum(value) AS s, count(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL", ("s",)),
     "msgpack_source": Query(_msgpack, "SELECT TIMESTAMP '1970-01-01 00:00:01' AS time, 'a' AS host, 1.5::DOUBLE AS v, true AS ok, 'a' AS \"name\" UNION ALL SELECT TIMESTAMP '1970-01-01 00:00:02', 'b', 2.5, true, 'b'"),
@@ -422,7 +521,15 @@ QUERIES: dict[str, Query] = {
     ),
     "json_result": Query(_json, f"SELECT event_type, epoch_us({bucket('1 day')}) // 1000000 AS epoch, count(value) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL"),
     "statement_summary": Query(_summary, "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT), (2::BIGINT, 0::BIGINT)) AS t(n, failed)"),
-    "csv_result": Query(_csv),
+    "chunked_result": Query(_chunked, f"SELECT event_type, epoch_us({bucket('1 day')}) // 1000000 AS epoch, count(value) AS n FROM events GROUP BY ALL"),
+    "csv_result": Query(
+        _csv,
+        f"""WITH b AS (SELECT {bucket('12 hours')} AS time, event_type, count(value) AS n FROM events WHERE {SQL_RANGE} GROUP BY ALL), s AS (SELECT DISTINCT event_type FROM b),
+        g AS (SELECT event_type, time, n FROM s CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-06 12:00:00', INTERVAL '12 hours')) AS time) LEFT JOIN b USING (event_type, time)),
+        l AS (SELECT event_type, 0 AS k, NULL AS time, 'name: events' AS text FROM s UNION ALL SELECT event_type, 1, NULL, 'time,n,event_type' FROM s
+              UNION ALL SELECT event_type, 2, time, epoch_us(time) // 1000000 || ',' || coalesce(CAST(n AS VARCHAR), '') || ',' || event_type FROM g)
+        SELECT CAST(row_number() OVER (ORDER BY event_type, k, time) - 1 AS INTEGER) AS line, text FROM l""",
+    ),
 }
 
 # the same over all events: what is read back, filled and shown isn't bounded either
@@ -448,7 +555,7 @@ def _unbounded(sql: str | None) -> str | None:
     days = ("ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'", " AND ts < TIMESTAMP '2024-01-06'", " AND ts < TIMESTAMP '2024-01-07'", "value < 20", "event_id < 50")
     for bound in (SQL_GAPPY, SQL_RANGE, *days):
         sql = sql.replace(bound, "" if bound.startswith(" AND") else "true")
-    for ends, every in (("'2024-01-05', TIMESTAMP '2024-01-05 11:50:00'", "'2024-01-01', TIMESTAMP '2024-01-30 23:50:00'"), ("'2024-01-05', TIMESTAMP '2024-01-06 23:00:00'", "'2024-01-01', TIMESTAMP '2024-01-30 23:00:00'")):
+    for ends, every in (("'2024-01-05', TIMESTAMP '2024-01-05 11:50:00'", "'2024-01-01', TIMESTAMP '2024-01-30 23:50:00'"), ("'2024-01-05', TIMESTAMP '2024-01-06 23:00:00'", "'2024-01-01', TIMESTAMP '2024-01-30 23:00:00'"), ("'2024-01-05', TIMESTAMP '2024-01-06 12:00:00'", "'2024-01-01', TIMESTAMP '2024-01-30 12:00:00'")):
         sql = sql.replace(f"TIMESTAMP {ends}", f"TIMESTAMP {every}")
     return sql
 
