@@ -99,13 +99,16 @@ def test_transforms(make):
     assert [r[1] for r in out(make(v((5, 1), (3, 2), (6, 3))), "SELECT non_negative_difference(v) FROM m")] == [3]
 
 
-def test_transforms_of_long_series_over_hours_and_blocks(make, monkeypatch):
+@pytest.mark.parametrize("sliced", [True, False])
+def test_transforms_of_long_series_over_hours_and_blocks(make, monkeypatch, sliced):
     from tidemark.operators import transforms
 
     monkeypatch.setattr(transforms, "BLOCK_ROWS", 5)
     monkeypatch.setattr(transforms, "SLICE_US", 7_000_000)
     rows = [(t, {"host": h}, {"v": float((t * 7 + len(h)) % 13) if t % 11 else None}) for h in ("a", "bb") for t in (*range(1, 60), 200, 201, 500)]
     e = make(rows)
+    if sliced:
+        e.whole_series_bytes = 0
     got = out(e, "SELECT moving_average(v, 4), difference(v), cumulative_sum(v), elapsed(v, 1s), moving_average(v, 1) FROM m GROUP BY host")
     for h in ("a", "bb"):
         mine = sorted((t, f["v"]) for t, g, f in rows if g["host"] == h)

@@ -45,9 +45,12 @@ class Engine:
     """Databases, each with retention policies and measurements.
 
     Measurements are DataFrames registered for reading, or are written through write() into Parquet under root,
-    a folder in any file system that Spark reaches. The session's time zone is set to UTC.
+    a folder in any file system that Spark reaches. The session's time zone is set to UTC. Functions of raw series
+    run within one task a series where all rows are estimated at whole_series_bytes at most, beyond that in slices.
     """
 
+    whole_series_bytes = 64 << 20
+
     def __init__(self, spark: SparkSession, root: str | None = None, *, db: str = "main", now: Callable[[], int] = clock.time_ns, linear_compat: bool = False, limits: Limits | None = None):
         self.spark, self.root, self.default_db, self.now, self.linear_compat = spark, root and root.rstrip("/"), db, now, linear_compat
         self.limits = limits or Limits()
@@ -107,7 +110,7 @@ class Engine:
         return f"{self.root}/{safe(db)}/{safe(rp)}/{safe(name)}"
 
     def planner(self, ordered: bool = True) -> Planner:
-        return Planner(self._lookup, self.now(), self.linear_compat, ordered)
+        return Planner(self._lookup, self.now(), self.linear_compat, ordered, self.whole_series_bytes)
 
     def sql(self, text: str, params: Mapping[str, object] | None = None, *, db: str | None = None, rp: str | None = None, ordered: bool = True) -> DataFrame:
         """One SELECT as a flat DataFrame: time, tags, columns. Several measurements are appended, with their name in front."""

@@ -80,8 +80,9 @@ def default_name(e: object) -> str:
 class Planner:
     """Plans selects against tables that `lookup` finds: lookup(measurement, db, rp) gives a list of them."""
 
-    def __init__(self, lookup: Callable[[Measurement, str | None, str | None], list[Table]], now_ns: int, linear_compat: bool = False, ordered: bool = True):
+    def __init__(self, lookup: Callable[[Measurement, str | None, str | None], list[Table]], now_ns: int, linear_compat: bool = False, ordered: bool = True, whole_series_bytes: int = 64 << 20):
         self.lookup, self.now_ns, self.linear_compat, self.ordered = lookup, now_ns, linear_compat, ordered
+        self.whole_series_bytes = whole_series_bytes
 
     def plan(self, q: Select, db: str | None, rp: str | None, outer: Bounds = Bounds()) -> list[Frame]:  # noqa: B008
         """A frame for each table of each source, in order."""
@@ -339,14 +340,17 @@ class Planner:
         found = list(dict.fromkeys(c for f in fields for c in calls(f.expr)))
         keys = {name: f"x{i}" for i, name in enumerate(sorted({self.field_of(c, s) for c in found}))}
         columns = {c: f"__c{i}" for i, c in enumerate(found)}
-        order: InOrder = InChunks(tag_columns, "time")
-        rows = InChunks.prepare(rows, tag_columns, "time", {"us": micros(F.col("time"))} | {k: F.col(quoted(name)) for name, k in keys.items()})
+        # no series is larger than all rows, so where these are few a task may well hold one
+        in_chunks = estimated_bytes(rows) > self.whole_series_bytes
+        order: InOrder = InChunks(tag_columns, "time") if in_chunks else InOrder(tag_columns, "time")
+        if in_chunks:
+            rows = InChunks.prepare(rows, tag_columns, "time", {"us": micros(F.col("time"))} | {k: F.col(quoted(name)) for name, k in keys.items()})
 
         def computed(c: Call, how: InOrder) -> Column:
             name = self.field_of(c, s)
             return self.transform(c, how, micros(F.col("time")), lambda _: F.col(quoted(name)), keys[name])
 
-        averages = [c for c in found if c.name == "moving_average"]
+        averages = [c for c in found if in_chunks and c.name == "moving_average"]
         rows = rows.withColumns({columns[c]: computed(c, order) for c in found if c not in averages})
         if averages:
             blocks = InBlocks(tag_columns)
@@ -385,6 +389,11 @@ class Planner:
         return Frame(name, df, tuple(tags), tuple(items), has_time, q.descending)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a frame's size, from that of its files; far too large rather than too small behind joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def cq_select(q: Select, start_ns: int, end_ns: int, strip_fill: bool) -> Select:
     """A continuous query's select for one window: literal time bounds give way to [start, end)."""
     from tidemark.plans.ast import all_of

@@ -310,6 +310,17 @@ REFUSED = (
 )
 
 
+def _in_slices(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A select over raw series whose rows run in slices of time and blocks, however few they are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        e.whole_series_bytes = 0
+        return e.sql(text, ordered=False)
+
+    return run
+
+
 def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether statements are refused, and a write into a view's destination with them."""
     e = engine(spark, sf_dir, scratch_folder(spark, "engine"))
@@ -532,6 +543,8 @@ QUERIES: dict[str, Query] = {
     ),
 }
 
+QUERIES |= {f"{name}_in_slices": Query(_in_slices(QUERIES[name].how), QUERIES[name].sql, QUERIES[name].floats) for name in ("difference_raw", "moving_average_raw", "untagged_raw")}
+
 # the same over all events: what is read back, filled and shown isn't bounded either
 _ALL = {
     "flagship": f'SELECT mean("value") AS "mean_value", count("value") AS "n" FROM "events" WHERE {WHOLE} GROUP BY time(1h), "event_type" fill(null)',
