@@ -72,6 +72,12 @@ def test_letters_are_those_of_unicode():
     assert all((letter.match(chr(c)) is not None) == unicodedata.category(chr(c)).startswith("L") for c in range(0x30000))
 
 
+@given(st.text(max_size=30))
+def test_words_are_found_either_way(text):
+    apart, letter = language_id._patterns()
+    assert language_id.words_apart(text) == (apart.sub(" ", text.lower()).strip() if letter.search(text.lower()) else "")
+
+
 def test_language_odd(odd_docs, no_docs):
     model = language_id.train(odd_docs)
     rows = language_id.predict(odd_docs, model).collect()
@@ -339,6 +345,14 @@ def test_mix_where_weights_crowd_the_keys(spark):
     assert rows == again and len(rows) == 3000
 
 
+def test_weights_of_labels_however_they_are_joined(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (9, 1)], "doc_id long, quality int")
+    for n in (100, 0):
+        rows = mixing.quality_weights(docs, labels, broadcast_labels=n).collect()
+        assert sorted((str(r["doc_id"]), r["mix_weight"]) for r in rows) == [("1", 2.0), ("2", 2.0), ("2", 2.0), ("3", 0.5), ("None", 1.0)]
+
+
 def test_mix_prefers_heavy_documents(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], 10, 9.0 if i % 4 == 0 else 1.0) for i in range(800)], "doc_id long, source string, size long, w double")
     rows = mixing.mix(df, size=F.col("size"), weight=F.col("w"), weights=(1.0, 3.0)).where("source = 'a'").collect()

@@ -157,8 +157,12 @@ def mix(
     )
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
-    """Adds mix_weight: good or bad by the label of a document, 1 without one. A document with several labels takes the best."""
+def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 2.0, bad: float = 0.5, broadcast_labels: int = 1_000_000) -> DataFrame:
+    """Adds mix_weight: good or bad by the label of a document, 1 without one. A document with several labels takes the best.
+
+    Up to broadcast_labels labels (some 50 bytes each) are broadcast, so that texts stay where they are; beyond that documents are joined by their id.
+    """
     best = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q"))
     w = F.when(F.col("__q") >= 1, good).when(F.col("__q") < 1, bad).otherwise(1.0)
+    best = F.broadcast(best) if labels.count() <= broadcast_labels else best
     return docs.join(best, F.col("doc_id") == F.col("__id"), "left").withColumn("mix_weight", w).drop("__id", "__q")
