@@ -304,6 +304,22 @@ def test_continuous_queries(engine):
     assert [r[0] for r in engine.run_continuous_queries(eight + 7200 * S)] == ["basic"]
 
 
+def test_schedule(engine):
+    import threading
+
+    eight = 1472371200 * S
+    engine.write(BUS)
+    engine.now = lambda: eight - 3600 * S
+    engine.query("CREATE CONTINUOUS QUERY basic ON main BEGIN SELECT mean(passengers) INTO avg_bus FROM bus GROUP BY time(1h) END")
+    for hour, want in ((0, [[1472367600, 7]]), (1, [[1472367600, 7], [1472371200, 13.75]])):
+        engine.now = lambda hour=hour: eight + hour * 3600 * S
+        engine.run_schedule(interval=0, rounds=2)
+        assert out(engine, "SELECT mean_passengers FROM avg_bus") == want
+    stopped = threading.Event()
+    stopped.set()
+    engine.run_schedule(stop=stopped)
+
+
 def test_materialized_views(engine):
     engine.write("m,host=h1 v=10 1700000000000000000\nm,host=h2 v=20 1700000000000000000")
     engine.write("m,host=h1 v=10 1700000000000000000")

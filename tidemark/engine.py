@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import json
+import logging
 import re
+import threading
 import time as clock
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import replace
@@ -412,6 +414,23 @@ class Engine:
                     out.append((name, start, end, n))
         return out
 
+    def run_schedule(self, interval: float = 10.0, stop: threading.Event | None = None, rounds: int | None = None) -> None:
+        """Runs due continuous queries and retention every `interval` seconds, until `stop` is set or after so many rounds.
+
+        What fails is logged and tried again in the next round.
+        """
+        stop = stop or threading.Event()
+        done = 0
+        while not stop.is_set() and (rounds is None or done < rounds):
+            for work in (self.run_continuous_queries, self.enforce_retention):
+                try:
+                    work()
+                except Exception:
+                    logging.getLogger(__name__).exception("a round of the schedule failed")
+            done += 1
+            if rounds is None or done < rounds:
+                stop.wait(interval)
+
     # Materialized views
 
     def create_view(self, db: str, name: str, text: str, backfill: bool) -> None:
