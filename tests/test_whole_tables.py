@@ -1,6 +1,11 @@
 """Queries over events load the whole table, whatever they read back."""
 
+import pytest
+from comparing import same_rows
+
 from tidemark import queries
+from tidemark.engine import Engine, Limits, WriteError
+from tidemark.sources.line_protocol import parse_lines
 
 
 def test_stored_engine_holds_all_events(spark, sf_dir):
@@ -20,3 +25,18 @@ def test_linear_fill_over_all_days(spark, duck, sf_dir):
     theirs = {(t, k): m for t, k, m in duck.sql(f"SELECT time, event_type, m FROM ({queries._unbounded(q.sql)})").fetchall()}
     assert mine.keys() == theirs.keys() and len(mine) == 5 * 30 * 144
     assert all((m is None) == (theirs[k] is None) and (m is None or abs(m - theirs[k]) < 1.1e-6) for k, m in mine.items())
+
+
+@pytest.mark.parametrize("name", ["stored_last_write_wins", "columnar_source", "materialized_view", "source_qualified", "drop_database_written"])
+def test_tables_of_more_points_than_a_request_may_have(spark, duck, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(Limits.__init__, "__defaults__", (100, None, None))
+    same_rows(queries.queries()[name](spark, sf_dir), duck.sql(queries.QUERIES[name].oracle()))
+
+
+def test_points_of_a_frame_are_not_a_request(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/root", limits=Limits(points=3))
+    points = parse_lines(spark.createDataFrame([(f"m v={i} {i}",) for i in range(10)], "value string"))
+    assert e.write_points(points) == 10 and e.sql("SELECT count(v) AS n FROM m").first()["n"] == 10
+    for write in (lambda: e.write("\n".join(f"m v={i} {i}" for i in range(4))), lambda: e.write_points(points, bulk=False)):
+        with pytest.raises(WriteError, match="too many points"):
+            write()

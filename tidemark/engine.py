@@ -199,8 +199,8 @@ class Engine:
         parse_bodies = msgpack.parse_columnar if columnar else msgpack.parse_bodies
         return self.write_points(parse_bodies(bodies, self.now()), db=db, rp=rp, bulk=bulk)
 
-    def write_points(self, points: DataFrame, *, db: str | None = None, rp: str | None = None, guard: bool = True, bulk: bool = False) -> int:
-        """Points as line_protocol.POINTS has them; returns their number. bulk: what executors read isn't held against the largest number of points."""
+    def write_points(self, points: DataFrame, *, db: str | None = None, rp: str | None = None, guard: bool = True, bulk: bool = True) -> int:
+        """Points as line_protocol.POINTS has them; returns their number. bulk: a frame, which executors read, isn't held against the largest number of points; the body of one request is (False)."""
         return self._write(points, db, rp, guard=guard, bulk=bulk)
 
     def _write(self, points: DataFrame, db: str | None, rp: str | None, *, guard: bool = True, bulk: bool = False, batch: int | None = None, now: int | None = None, again: bool = False, rejects: str | None = None) -> int:
