@@ -465,3 +465,16 @@ def test_pack_odd(odd_docs, no_docs):
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in odd_docs.collect())
     assert [r["length"] for r in rows if r["doc_id"] in (2, 3, 4)] == [1, 1, 1]
     assert packing.pack_documents(no_docs, path).count() == 0
+
+
+def test_licenses_are_nominated_by_compression_before_their_wording(monkeypatch):
+    notice = "any one may use it for all of us now and let it go on as is if so"
+    scanner = license_scan.Scanner({"T": notice}, 0.3, 0.2)
+    held = []
+    places = scanner.places
+    monkeypatch.setattr(scanner, "places", lambda words, name: held.append(name) or places(words, name))
+    # all words of the notice, none beside its neighbour: knowing it saves nothing
+    apart = " ".join(f"{w} {i * 7919 % 100003:x}" for i, w in enumerate(reversed(notice.split())))
+    assert scanner.text(f"license {apart}") == [] and held == []
+    filler = " ".join(f"word{i * i % 997}" for i in range(400))
+    assert [x[2] for x in scanner.text(f"{filler} license {notice} {filler}")] == ["T"] and set(held) == {"T"}

@@ -99,8 +99,12 @@ WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
 FOUND = "doc_id bigint, start bigint, end bigint, license string, reduction double, differences int, template_words int"
 
 
+#: Share of the saving asked for that nominates a template: windows hold other words too, so a place's saving is met there but in part.
+NOMINATED = 0.25
+
+
 class Scanner:
-    """Confirms templates in a block by wording and by the bytes that knowing them saves."""
+    """Nominates templates of a block by the bytes that knowing them saves, and confirms them by wording and by the saving at their places."""
 
     def __init__(self, templates: Mapping[str, str], least_reduction: float, most_different: float):
         import zstandard
@@ -111,8 +115,9 @@ class Scanner:
         self.given = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(v).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in self.words.items()}
 
         self.floor = {k: len(self.plain.compress(" ".join(v).encode())) for k, v in self.words.items()}
-        #: no confirmed notice has more words
-        self.longest = max((len(v) + int(most_different * len(v)) for v in self.words.values()), default=0)
+        #: no confirmed notice of a template, and of any, has more words
+        self.reach = {k: len(v) + int(most_different * len(v)) for k, v in self.words.items()}
+        self.longest = max(self.reach.values(), default=0)
 
     def differences(self, words: list[str], name: str) -> tuple[int, int, int]:
         """Words of the template that are missing, or stand between its words, at its best place: (count, first word, word after the last)."""
@@ -158,7 +163,7 @@ class Scanner:
         """(first word, word after the last, license, reduction, differences, words of the template) for every confirmed license of a block."""
         here = set(words)
         # too many words of a template that the block lacks altogether rule it out
-        names = [k for k, want in self.words.items() if sum(w not in here for w in want) <= self.most * len(want)]
+        names = [k for k in self.nominated(words) if sum(w not in here for w in self.words[k]) <= self.most * len(self.words[k])]
         for name in names:
             for count, a, b in self.places(words, name):
                 gain, plain = self.saving(words[a:b], name)
@@ -167,6 +172,31 @@ class Scanner:
                 if gain >= self.least * floor:
                     yield a, b, name, gain / floor, count, len(self.words[name])
 
+    def nominated(self, words: list[str]) -> list[str]:
+        """Templates that make a window of a block shorter once they are known.
+
+        Windows of a few lengths, shared by templates, overlap by the longest notice that is sought in them: each place is whole in one.
+        """
+        plain: dict[tuple[int, int], tuple[bytes, int]] = {}
+
+        def shorter(name: str, length: int) -> bool:
+            reach = self.reach[name]
+            for a in range(0, max(1, len(words) - reach), length - reach + 1):
+                if (at := (a, a + length)) not in plain:
+                    raw = " ".join(words[a : a + length]).encode()
+                    plain[at] = raw, len(self.plain.compress(raw))
+                raw, alone = plain[at]
+                if alone - len(self.given[name].compress(raw)) >= NOMINATED * self.least * min(alone, self.floor[name]):
+                    return True
+            return False
+
+        def nominates(name: str) -> bool:
+            around = 1 << self.reach[name].bit_length()
+            # what a line saves varies by some bytes with the words around it, so at last it has few of them
+            return shorter(name, max(96, 2 * around)) or around <= 16 and (shorter(name, 2 * around) or shorter(name, self.reach[name] + 2))
+
+        return [k for k in self.words if nominates(k)]
+
     def saving(self, words: list[str], name: str) -> tuple[int, int]:
         """Bytes that knowing the template saves, and bytes without it."""
         raw = " ".join(words).encode()
@@ -209,8 +239,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, least_red
     """Finds license notices in docs (doc_id, text): one row for each, (doc_id, start, end, license, reduction, differences, template_words).
 
     Candidate blocks hold as many words around each trigger as the longest notice has, however its lines are
-    wrapped. Every template is held word by word against the block, at all its places,
-    and each place is compressed alone and with the template as a raw zstandard dictionary. It is confirmed if the saving
+    wrapped. Windows of a block are compressed alone and with each template as a raw zstandard dictionary; templates that save
+    bytes enough (NOMINATED of least_reduction) are held word by word against the block, at all its places,
+    and each place is compressed in both ways too. It is confirmed if the saving
     is at least least_reduction of what it could be and at most most_different of the template's words differ.
     differences 0 is the exact wording. Of notices that overlap the one with most words that agree stays, of equally good ones that with fewer
     differences, then the first by place and name. Null and empty texts have no rows; a null doc_id stays null; repeated rows give
