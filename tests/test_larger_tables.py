@@ -8,6 +8,7 @@ from tidemark.engine import Limits
 
 NAMES = [
     "export_import_whole",
+    "retention",
 ]
 
 
