@@ -9,6 +9,7 @@ from tidemark.engine import Limits
 NAMES = [
     "export_import_whole",
     "retention",
+    "select_into_whole",
 ]
 
 
