@@ -10,6 +10,7 @@ NAMES = [
     "export_import_whole",
     "retention",
     "select_into_whole",
+    "stored_last_write_wins_whole",
 ]
 
 
