@@ -11,6 +11,7 @@ NAMES = [
     "retention",
     "select_into_whole",
     "stored_last_write_wins_whole",
+    "stored_tombstones",
 ]
 
 
