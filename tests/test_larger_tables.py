@@ -12,6 +12,7 @@ NAMES = [
     "select_into_whole",
     "stored_last_write_wins_whole",
     "stored_tombstones",
+    "columnar_source_whole",
 ]
 
 
