@@ -13,6 +13,7 @@ NAMES = [
     "stored_last_write_wins_whole",
     "stored_tombstones",
     "columnar_source_whole",
+    "retention_whole",
 ]
 
 
