@@ -14,6 +14,7 @@ NAMES = [
     "stored_tombstones",
     "columnar_source_whole",
     "retention_whole",
+    "stored_tag_filter",
 ]
 
 
