@@ -15,6 +15,7 @@ NAMES = [
     "columnar_source_whole",
     "retention_whole",
     "stored_tag_filter",
+    "stored_tombstones_whole",
 ]
 
 
