@@ -16,6 +16,7 @@ NAMES = [
     "retention_whole",
     "stored_tag_filter",
     "stored_tombstones_whole",
+    "materialized_view_whole",
 ]
 
 
