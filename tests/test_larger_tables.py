@@ -17,6 +17,7 @@ NAMES = [
     "stored_tag_filter",
     "stored_tombstones_whole",
     "materialized_view_whole",
+    "compacted",
 ]
 
 
