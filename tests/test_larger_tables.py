@@ -18,6 +18,7 @@ NAMES = [
     "stored_tombstones_whole",
     "materialized_view_whole",
     "compacted",
+    "export_import",
 ]
 
 
