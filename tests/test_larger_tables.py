@@ -19,6 +19,7 @@ NAMES = [
     "materialized_view_whole",
     "compacted",
     "export_import",
+    "select_into",
 ]
 
 
