@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -173,11 +173,17 @@ def _export_import(spark: SparkSession, sf_dir: str, where: str = BOUND) -> Data
 
 
 def _columnar(spark: SparkSession, sf_dir: str, where: str = "WHERE time >= '2024-01-05T00:00:00Z' AND time < '2024-01-06T00:00:00Z'") -> DataFrame:
-    """Hours of events as columnar batches of one field, flattened, written and read."""
+    """Hours of events as columnar batches of one field, flattened, written and read.
+
+    A series holds an instant once, so events of one type and instant go to batches that a tag (nth) tells apart.
+    """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    batches = ev.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.sort_array(F.collect_list(F.struct(ns.alias("t"), "value"))).alias("z"))
-    batches = batches.select(F.lit("ev").alias("measurement"), F.create_map(F.lit("event_type"), F.col("event_type")).alias("tags"), F.lit("value").alias("field"), F.col("z.value").alias("values"), F.col("z.t").alias("timestamps"))
+    instants = Window.partitionBy("event_type", "h").orderBy("t")
+    ev = ev.select("event_type", F.date_trunc("hour", "ts").alias("h"), ns.alias("t"), "value").withColumn("nth", F.row_number().over(instants) - F.rank().over(instants))
+    batches = ev.groupBy("event_type", "h", "nth").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("z"))
+    tags = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("nth"), F.col("nth").cast("string"))
+    batches = batches.select(F.lit("ev").alias("measurement"), tags.alias("tags"), F.lit("value").alias("field"), F.col("z.value").alias("values"), F.col("z.t").alias("timestamps"))
     e = Engine(spark, scratch_folder(spark, "engine"), now=lambda: NOW_NS)
     e.write_points(columnar_points(batches, NOW_NS))
     return e.sql(f"SELECT sum(value) AS s, count(value) AS n FROM ev {where} GROUP BY event_type", ordered=False)
